@@ -6,13 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.distinctive import log_entropy
+from lectern.llm.near_duplicates import NearDuplicates, Sketching
 from lectern.llm.term_counts import TermCounts
+from lectern.llm.unify import same_form_pairs, unify_text
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark, d):
+    fields = (("chunk.text", "chunk", "chunk_id", "text"), ("request.question", "request", "request_id", "question"))
+    a, b = (same_form_pairs(_table(spark, d, t), key, text).select(F.lit(field).alias("field"), "id_a", "id_b") for field, t, key, text in fields)
+    return a.unionByName(b)
+
+
+def p1_tokens(spark, d):
+    """The tokens of chunks that hold look-alike letters, with what was decided about each."""
+    return unify_text(_table(spark, d, "chunk"), "text").tokens
+
+
+#: The case of problem 2 in this project's data: word triples, half of them shared.
+TRIPLES = Sketching(shingle=3, threshold=0.5)
+
+
+def p2_found(spark, d):
+    return NearDuplicates(_table(spark, d, "chunk"), how=TRIPLES).pairs()
+
+
+def p2_groups(spark, d):
+    return NearDuplicates(_table(spark, d, "chunk"), how=TRIPLES).groups().select(F.col("key").alias("chunk_id"), "class", "copies", "links")
+
+
 def p3_found(spark, d):
     scored = log_entropy(_table(spark, d, "chunk"), min_records=4)
     return scored.where(5 * F.col("records") >= 4 * F.col("all_records")).select("document", "term")
@@ -31,4 +56,4 @@ def p5_found(spark, d):
     return counts.marked().where(F.col("mark").isNotNull()).select("term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p5_found)}
