@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.distinctive import log_entropy
+from lectern.llm.leaks import PositionalIndex
 from lectern.llm.near_duplicates import NearDuplicates, Sketching
+from lectern.llm.splitting import split_oversized
 from lectern.llm.term_counts import TermCounts
 from lectern.llm.unify import same_form_pairs, unify_text
 
@@ -51,9 +53,29 @@ def p3_terms(spark, d):
     return log_entropy(_table(spark, d, "chunk")).withColumn("place", F.row_number().over(w)).where("place <= 10")
 
 
+def p4_found(spark, d):
+    return split_oversized(_table(spark, d, "chunk")).where("piece = 0").select("chunk_id", "boundary")
+
+
+def p4_pieces(spark, d):
+    return split_oversized(_table(spark, d, "chunk"))
+
+
 def p5_found(spark, d):
     counts = TermCounts(spark).apply(added=_table(spark, d, "chunk"))
     return counts.marked().where(F.col("mark").isNotNull()).select("term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p5_found)}
+def _leaks(spark, d):
+    return PositionalIndex(_table(spark, d, "documents"), _table(spark, d, "eval_item"))
+
+
+def p6_found(spark, d):
+    return _leaks(spark, d).phrases().select("doc_id", "item_id").distinct()
+
+
+def p6_near(spark, d):
+    return _leaks(spark, d).near()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p6_found, p6_near)}
