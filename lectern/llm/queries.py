@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.distinctive import log_entropy
 from lectern.llm.leaks import PositionalIndex
+from lectern.llm.mixing import mix
 from lectern.llm.near_duplicates import NearDuplicates, Sketching
 from lectern.llm.splitting import split_oversized
 from lectern.llm.term_counts import TermCounts
@@ -78,4 +79,12 @@ def p6_near(spark, d):
     return _leaks(spark, d).near()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p6_found, p6_near)}
+def p7_mix(spark, d):
+    return mix(_table(spark, d, "documents"), _table(spark, d, "mix_target")).chosen
+
+
+def p7_shares(spark, d):
+    return mix(_table(spark, d, "documents"), _table(spark, d, "mix_target")).shares
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p6_found, p6_near, p7_mix, p7_shares)}
