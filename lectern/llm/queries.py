@@ -9,6 +9,7 @@ from lectern.llm.distinctive import log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
 from lectern.llm.near_duplicates import NearDuplicates, Sketching
+from lectern.llm.spam import score_pages
 from lectern.llm.splitting import split_oversized
 from lectern.llm.term_counts import TermCounts
 from lectern.llm.unify import same_form_pairs, unify_text
@@ -87,4 +88,12 @@ def p7_shares(spark, d):
     return mix(_table(spark, d, "documents"), _table(spark, d, "mix_target")).shares
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p6_found, p6_near, p7_mix, p7_shares)}
+def p8_found(spark, d):
+    return score_pages(_table(spark, d, "documents")).where("spam").select("doc_id")
+
+
+def p8_scores(spark, d):
+    return score_pages(_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p6_found, p6_near, p7_mix, p7_shares, p8_found, p8_scores)}
