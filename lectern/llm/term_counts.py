@@ -47,9 +47,10 @@ class TermCounts:
         parts = [records(df, key, text=text).withColumn("sign", F.lit(sign)) for df, sign in ((added, 1), (deleted, -1)) if df is not None]
         changed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         delta = term_rows(changed, "sign", text=text).groupBy("term").agg(
-            F.sum("sign").cast("bigint").alias("occurrences"), F.sum(F.col("sign") * F.col("first")).cast("bigint").alias("records"))
+            F.sum(F.col("sign") * (1 - F.col("first"))).alias("occurrences"), F.sum(F.col("sign") * F.col("first")).alias("records"))
         delta = delta.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        total = changed.agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("records"))
+        ids = [df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.lit(sign).alias("sign"), key, F.xxhash64(text), F.xxhash64(F.lit(1), text)).distinct() for df, sign in ((added, 1), (deleted, -1)) if df is not None]
+        total = (ids[0] if len(ids) == 1 else ids[0].union(ids[1])).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("records"))
         if self.version:
             old = self._read("counts", SCHEMA)
             delta = old.unionByName(delta).groupBy("term", "bucket").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

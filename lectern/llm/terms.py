@@ -19,23 +19,23 @@ def records(df: DataFrame, key: str = "chunk_id", *columns: str, text: str = "te
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, *columns, text).distinct()
 
 
-def words(form: Column) -> Column:
-    """Runs between white space in lower case, without what is no letter or digit at their ends; empty runs are none."""
-    return F.filter(F.split(F.regexp_replace(F.lower(form), EDGE, ""), r"\s+"), lambda w: w != "")
+def split_words(form: Column) -> Column:
+    """Like ``words``, but empty strings may be among them."""
+    return F.split(F.regexp_replace(F.lower(form), EDGE, ""), r"\s+")
 
 
-def terms(form: Column, least: int = 3) -> Column:
-    """Words of at least ``least`` characters, in the order of the text, repeats kept."""
-    return F.filter(F.split(F.regexp_replace(F.lower(form), EDGE, ""), r"\s+"), lambda w: F.length(w) >= least)
+def words(form: Column) -> Column:
+    """Runs between white space in lower case, without what is no letter or digit at their ends; empty runs are none."""
+    return F.filter(split_words(form), lambda w: w != "")
 
 
-def term_rows(recs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """One row per occurrence of a term: ``keep``, ``term`` and ``first``, 1 at one occurrence per record and else 0.
+def term_rows(recs: DataFrame, *keep: str, text: str = "text", least: int = 3) -> DataFrame:
+    """Terms of at least ``least`` characters: ``keep``, ``term`` and ``first``.
 
-    Sorting each record's terms puts equal ones side by side, so that occurrences and records are counted by one
-    aggregation without a count per record and term.
+    Every occurrence is a row with ``first`` 0, and every distinct term of a record one more row with ``first`` 1, so
+    one aggregation counts occurrences and records without a group per record. All of it runs in generated code.
     """
-    df = with_form(recs, text, "__form").select(*keep, F.array_sort(terms(F.col("__form"))).alias("__t"))
-    t = F.col("__t")
-    flagged = F.transform(t, lambda w, i: F.struct(w.alias("term"), F.when((i > 0) & (F.get(t, i - 1) == w), 0).otherwise(1).alias("first")))
-    return df.select(*keep, F.inline(flagged))
+    df = with_form(recs, text, "__form").select(*keep, split_words(F.col("__form")).alias("__t"))
+    lists = F.array(F.struct(F.lit(0).alias("first"), F.col("__t").alias("t")), F.struct(F.lit(1).alias("first"), F.array_distinct("__t").alias("t")))
+    df = df.select(*keep, F.inline(lists)).select(*keep, "first", F.explode("t").alias("term"))
+    return df.where(F.length("term") >= least)
