@@ -133,7 +133,11 @@ class ProseModel:
     driver and sent to the workers.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, surprise: np.ndarray, mean: float, spread: float):
+        self.surprise, self.mean, self.spread = surprise, mean, spread
+
+    @classmethod
+    def fitted(cls, keys: np.ndarray, counts: np.ndarray) -> ProseModel:
         tri = np.zeros(14 * CLASSES * CLASSES)
         np.add.at(tri, keys, counts)
         tri = tri.reshape(14, CLASSES, CLASSES)
@@ -141,10 +145,10 @@ class ProseModel:
         p1 = (uni + 0.5) / (uni.sum() + 0.5 * CLASSES)
         p2 = (bi + 8 * p1) / (bi.sum(1, keepdims=True) + 8)
         p3 = (tri + 8 * p2) / (tri.sum(2, keepdims=True) + 8)
-        self.surprise = -np.log2(p3).ravel().astype(np.float32)
+        surprise = -np.log2(p3).ravel().astype(np.float32)
         total = max(tri.sum(), 1.0)
-        self.mean = float((tri.ravel() * self.surprise).sum() / total)
-        self.spread = float(np.sqrt(max((tri.ravel() * (self.surprise - self.mean) ** 2).sum() / total, 1e-9)))
+        mean = float((tri.ravel() * surprise).sum() / total)
+        return cls(surprise, mean, float(np.sqrt(max((tri.ravel() * (surprise - mean) ** 2).sum() / total, 1e-9))))
 
     def score(self, seq: np.ndarray, how: Spam) -> tuple[float, float, float]:
         """Surprise per token in bits, the share of words in abnormal pieces, and the share in those that look like lists."""
@@ -179,7 +183,7 @@ def train(sequences: DataFrame, how: Spam) -> ProseModel:
         yield pd.DataFrame({"key": keys, "n": sums[keys]})
 
     counted = sequences.select("classes").mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    return ProseModel(counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
+    return ProseModel.fitted(counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
 
 
 def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text", how: Spam = Spam()) -> DataFrame:
@@ -201,11 +205,13 @@ def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text", how: Spa
             yield pd.DataFrame({"key": batch["key"], "classes": [classes(t, memory) for t in batch["form"]]})
 
     sequences = written(rows.select("key", "form").mapInPandas(classify, f"key {kind}, classes binary"), "spam-classes")
-    model = df.sparkSession.sparkContext.broadcast(train(sequences, how))
+    trained = train(sequences, how)
+    sent = df.sparkSession.sparkContext.broadcast((trained.surprise, trained.mean, trained.spread))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = ProseModel(*sent.value)
         for batch in batches:
-            scores = [model.value.score(np.frombuffer(raw, np.uint8).astype(np.int64), how) for raw in batch["classes"]]
+            scores = [model.score(np.frombuffer(raw, np.uint8).astype(np.int64), how) for raw in batch["classes"]]
             yield pd.DataFrame(scores, columns=["bits", "abnormal", "listed"]).assign(key=batch["key"].to_numpy())[["key", "bits", "abnormal", "listed"]]
 
     scored = sequences.mapInPandas(score, f"key {kind}, bits double, abnormal double, listed double")
