@@ -5,7 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.terms import records, term_rows
+from lectern.functions.shared import written
+from lectern.llm.terms import term_rows
+
+
+#: An owner with more than this part of all rows is hot; so there are fewer hot owners than this.
+HOT = 200
+
+
+def _local(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
+    """owner, term, occurrences, records of each owner and term, from the distinct records.
+
+    Records are brought together by owner before they become terms, so terms of all but hot owners are counted without
+    a shuffle of their own. Hot owners are spread over salts by their key and summed in a second step; there are fewer
+    than ``HOT`` of them, so their names are broadcast.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, owner, text)
+    sizes = rows.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("all"))
+    hot = written(sizes.crossJoin(F.broadcast(total)).where(F.col("n") * HOT > F.col("all")).select(
+        F.col(owner).alias("__hot"), F.ceil(F.col("n") * HOT / F.col("all")).cast("int").alias("__salts")), "hot-owners")
+    marked = rows.join(F.broadcast(hot), F.col(owner).eqNullSafe(F.col("__hot")), "left").drop("__hot")
+    sums = (F.sum(1 - F.col("first")).alias("occurrences"), F.sum("first").alias("records"))
+    cold = marked.where(F.col("__salts").isNull()).select(key, owner, text).repartition(owner).distinct()
+    cold = term_rows(cold, owner, text=text).groupBy(owner, "term").agg(*sums)
+    salted = marked.where(F.col("__salts").isNotNull()).withColumn("__salt", F.pmod(F.xxhash64(key), F.col("__salts")))
+    salted = salted.select(key, owner, text, "__salt").repartition(owner, "__salt").distinct()
+    salted = term_rows(salted, owner, text=text).groupBy(owner, "term").agg(*sums)
+    return cold.unionByName(salted)
 
 
 def log_entropy(df: DataFrame, key: str = "chunk_id", owner: str = "document", text: str = "text", min_records: int = 1) -> DataFrame:
@@ -13,27 +40,20 @@ def log_entropy(df: DataFrame, key: str = "chunk_id", owner: str = "document", t
 
     The weight is ln(1 + occurrences in the owner) times one minus the entropy of the term's spread over the owners,
     as a share of the entropy of an even spread over all of them: 1 for a term of one owner only, near 0 for a term used
-    evenly everywhere. Two aggregations compute it: occurrences and records per owner and term, then entropy per term
-    from those sums. Both combine before they shuffle, no group is ever collected, and the join back on the term is left
-    to the planner, which splits hot terms.
+    evenly everywhere. Two aggregations compute it: occurrences and records per owner and term, written once, then
+    entropy per term from those sums. No group is ever collected, and the join back on the term is left to the planner,
+    which splits hot terms.
 
     ``min_records`` drops owner-term rows below that many records after the statistics are taken over all of them.
     Records without an owner count in ``all_records`` but own no row and take no part in the entropy. Null keys or texts are no records, blank texts
     have no terms, repeated rows count once, an empty table gives an empty result, other columns are ignored. With a
     single owner every entropy is 0 and every spread factor 1.
     """
-    local = (
-        term_rows(records(df, key, owner, text=text), owner, text=text)
-        .groupBy(owner, "term")
-        .agg(F.count(F.lit(1)).alias("occurrences"), F.sum("first").alias("records"))
-    )
-    f, owned = F.col("occurrences"), F.col(owner).isNotNull()
-    spread = local.groupBy("term").agg(
-        F.sum("records").alias("all_records"),
-        F.sum(F.when(owned, f)).alias("__f"),
-        F.sum(F.when(owned, f * F.ln(f))).alias("__flnf"),
-    )
-    owners = df.where(F.col(owner).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).agg(F.countDistinct(owner).alias("__owners"))
+    local = written(_local(df, key, owner, text), "owner-terms")
+    owned = F.col(owner).isNotNull()
+    f = F.when(owned, F.col("occurrences"))
+    spread = local.groupBy("term").agg(F.sum("records").alias("all_records"), F.sum(f).alias("__f"), F.sum(f * F.ln(f)).alias("__flnf"))
+    owners = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).agg(F.countDistinct(owner).alias("__owners"))
     entropy = F.ln("__f") - F.col("__flnf") / F.col("__f")
     share = F.when(F.col("__owners") > 1, F.greatest(F.lit(0.0), entropy / F.ln("__owners"))).otherwise(0.0)
     return (
