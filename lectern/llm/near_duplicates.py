@@ -107,11 +107,11 @@ def _sketched(how: Sketching):
     return run
 
 
-def shingles(word_list: Column, k: int) -> Column:
-    """The distinct runs of ``k`` consecutive words of an array of words."""
-    at = F.sequence(F.lit(1), F.size(word_list) - (k - 1))
-    runs = F.transform(at, lambda i: F.array_join(F.slice(word_list, i, k), " "))
-    return F.when(F.size(word_list) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def shingles(words_column: str, k: int) -> Column:
+    """The distinct runs of ``k`` consecutive words of an array column, as 64-bit hashes."""
+    w = F.col(words_column)
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+    return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 class NearDuplicates:
@@ -142,12 +142,12 @@ class NearDuplicates:
         marked = rows.join(many, ["h1", "h2"], "left").select("key", "text", F.coalesce("many", F.lit(False)).alias("many"))
         once = marked.where(~F.col("many")).select(F.col("key").alias("rep"), "text")
         merged = marked.where("many").groupBy("text").agg(F.min("key").alias("rep")).select("rep", "text")
-        return with_form(once.unionByName(merged), "text", "form").select("rep", "form")
+        return once.unionByName(merged)
 
     def _links(self) -> DataFrame:
         how = self.how
-        hashed = self.reps.select("rep", F.transform(words(F.col("form")), lambda w: F.xxhash64(w)).alias("words"))
-        sketched = written(hashed.mapInArrow(_sketched(how), "rep bigint, bands array<bigint>, odd array<bigint>"), "near-sketches")
+        hashed = with_form(self.reps, "text", "form").select("rep", F.transform(words(F.col("form")), lambda w: F.xxhash64(w)).alias("words"))
+        self.sketched = sketched = written(hashed.mapInArrow(_sketched(how), "rep bigint, bands array<bigint>, odd array<bigint>"), "near-sketches")
         band = sketched.select("rep", F.explode("bands").alias("band"))
         pairs = (
             band.withColumnRenamed("rep", "a").join(band.withColumnRenamed("rep", "b"), "band")
@@ -158,12 +158,13 @@ class NearDuplicates:
         apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = written(near.where(apart <= how.most_odd).select("a", "b"), "near-candidates")
         ends = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        texts = self.reps.join(ends, "rep", "left_semi")
-        sets = lambda side: texts.select(F.col("rep").alias(side), F.col("form").alias(f"form_{side}"))
-        both = near.join(sets("a"), "a").join(sets("b"), "b")
-        both = both.select("a", "b", shingles(words(F.col("form_a")), how.shingle).alias("x"), shingles(words(F.col("form_b")), how.shingle).alias("y"))
+        # Written, so that only the texts of candidates are brought to one form, and each once.
+        texts = written(with_form(self.reps.join(ends, "rep", "left_semi"), "text", "form").select("rep", words(F.col("form")).alias("words")), "near-texts")
+        both = near.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
+        both = both.select("a", "b", shingles("words_a", how.shingle).alias("x"), shingles("words_b", how.shingle).alias("y"))
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-        return shared.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= how.threshold)
+        # Written before the threshold, which would else be pushed down and repeat the expressions under it.
+        return written(shared.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")), "near-links").where(F.col("similarity") >= how.threshold)
 
     def groups(self) -> DataFrame:
         """key, class, copies (records of the class), links (classes it is linked to)."""
@@ -179,7 +180,7 @@ class NearDuplicates:
         classes are spread over salts, so that no task holds all pairs of one class.
         """
         m = self.members
-        long = self.reps.where(F.size(words(F.col("form"))) >= self.how.shingle).select(F.col("rep").alias("class"))
+        long = self.sketched.select(F.col("rep").alias("class"))  # texts with at least one shingle
         size = m.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(long, "class", "left_semi")
         salts = size.select("class", F.ceil(F.col("n") / 1000).cast("int").alias("salts"))
         inside = m.join(salts, "class")
