@@ -160,11 +160,20 @@ class NearDuplicates:
         ends = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         # Written, so that only the texts of candidates are brought to one form, and each once.
         texts = written(with_form(self.reps.join(ends, "rep", "left_semi"), "text", "form").select("rep", words(F.col("form")).alias("words")), "near-texts")
-        both = near.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
-        both = both.select("a", "b", shingles("words_a", how.shingle).alias("x"), shingles("words_b", how.shingle).alias("y"))
+        near = self._compared(near, texts)
+        found = near.where(F.col("similarity") >= how.threshold)
+        # Texts that are both linked to a third are compared too: revisions of one text that no band brought together.
+        ends = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        two = ends.toDF("m", "a").join(ends.toDF("m", "b"), "m").where("a < b").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+        return found.unionByName(self._compared(two, texts).where(F.col("similarity") >= how.threshold))
+
+    def _compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """a, b, similarity: the exact Jaccard similarity of the shingles of pairs of texts."""
+        both = pairs.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
+        both = both.select("a", "b", shingles("words_a", self.how.shingle).alias("x"), shingles("words_b", self.how.shingle).alias("y"))
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-        # Written before the threshold, which would else be pushed down and repeat the expressions under it.
-        return written(shared.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")), "near-links").where(F.col("similarity") >= how.threshold)
+        # Written before any threshold, which would else be pushed down and repeat the expressions under it.
+        return written(shared.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")), "near-links")
 
     def groups(self) -> DataFrame:
         """key, class, copies (records of the class), links (classes it is linked to)."""

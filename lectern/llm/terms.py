@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.forms import with_form
 
-EDGE = r"(?<![^\s])[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?![^\s])"
+#: White space with the signs beside it: what lies between words. One pass both parts a text and trims its words.
+BETWEEN = r"[^\p{L}\p{N}\s]*+\s[^\p{L}\p{N}]*"
 
 
 def records(df: DataFrame, key: str = "chunk_id", *columns: str, text: str = "text") -> DataFrame:
@@ -21,7 +22,7 @@ def records(df: DataFrame, key: str = "chunk_id", *columns: str, text: str = "te
 
 def split_words(form: Column) -> Column:
     """Like ``words``, but empty strings may be among them."""
-    return F.split(F.regexp_replace(F.lower(form), EDGE, ""), r"\s+")
+    return F.split(F.concat(F.lit(" "), F.lower(form), F.lit(" ")), BETWEEN)
 
 
 def words(form: Column) -> Column:
