@@ -85,7 +85,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     plan = goal.join(has, "__s", "left").na.fill(0, ["has_tokens", "has_docs"])
     everyone = Window.partitionBy()
     asked = F.when(F.col("has_tokens") > 0, F.col("target_share"))
-    plan = plan.withColumn("__w", asked / F.sum(asked).over(everyone))
+    plan = plan.withColumn("__w", F.try_divide(asked, F.sum(asked).over(everyone)))
     most = F.min(F.when(F.col("__w") > 0, F.col("has_tokens") * F.col("max_repeats") / F.col("__w"))).over(everyone)
     plan = plan.withColumn("budget", F.least((F.lit(float(total)) if total else most) * F.col("__w"), F.col("has_tokens") * F.col("max_repeats")))
     plan = written(plan, "mix-plan")
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
 
     got = chosen.groupBy("proper").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     shares = plan.join(got, "proper", "left").na.fill(0, ["tokens", "documents", "most_copies"])
-    shares = shares.withColumn("share", F.coalesce(F.col("tokens") / F.sum("tokens").over(everyone), F.lit(0.0)))
+    shares = shares.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(everyone)), F.lit(0.0)))
     return Mix(
         chosen.select(F.col("key").alias(key), F.col("proper").alias("source"), "tokens", "copies"),
         shares.select(F.col("proper").alias("source"), "target_share", "max_repeats", "has_docs", "has_tokens", "documents", "most_copies", "tokens", "share"),

@@ -234,7 +234,13 @@ def test_mix(spark):
 def test_spam(spark):
     rng = random.Random(4)
     parts = "valve hopper belt roller nozzle tray shroud gasket".split()
-    prose = lambda: " ".join(f"Check that the {rng.choice(parts)} is dry before you open the {rng.choice(parts)} and wait for {rng.randrange(90)} minutes." for _ in range(8))
+    frames = [
+        "Check that the {} is dry before you open the {}.", "It takes a fitter {} minutes to clean the {} by hand.", "When the {} makes a noise, the cause lies near the {}.",
+        "A worn {} is the usual reason why the unit stops after {} hours.", "Do not use oil on the {}, because it turns sticky and the {} slows down.", "Our trials ran for {} days and only the {} became loose.",
+        "First lift the {}, then let the {} cool for a while.", "Leave the {} open so that air can pass to the {}.", "On older machines the {} is found below the {}.", "Readings over {} bar mean that the {} is blocked.",
+    ]
+    fill = lambda f: f.format(rng.choice(parts), rng.choice(parts))
+    prose = lambda: " ".join(fill(f) for f in rng.sample(frames, 8))
     rows = [(i, prose()) for i in range(200)]
     rows += [(900 + i, "\n".join(f"buy {rng.choice(parts)} pump" for _ in range(60))) for i in range(3)]
     rows += [(910, " ".join(f"#{rng.choice(parts)}_{i}" for i in range(40))), (911, "\n".join(f"https://shop.test/{p}/1" for p in parts * 4)), (912, " | ".join(p.title() for p in parts * 8))]
