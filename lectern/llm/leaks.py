@@ -73,6 +73,7 @@ class Postings:
         self.term = np.asarray(batch.column("term").flatten()).astype(np.int64)
         self.base = 1 << 32
         self.at = self.rows * self.base + self.pos
+        self.by_term = None
 
     def hold(self, rows: np.ndarray, pos: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Whether each term stands at its place."""
@@ -80,6 +81,18 @@ class Postings:
         i = np.minimum(np.searchsorted(self.at, wanted), max(len(self.at) - 1, 0))
         return (pos >= 0) & (self.at[i] == wanted) & (self.term[i] == term) if len(self.at) else np.zeros(len(wanted), bool)
 
+    def near(self, rows: np.ndarray, pos: np.ndarray, term: np.ndarray, slop: int) -> np.ndarray:
+        """Whether each term stands at most ``slop`` places from its place."""
+        if not len(self.at):
+            return np.zeros(len(rows), bool)
+        if self.by_term is None:
+            self.room, self.terms = int(self.pos.max()) + 1, int(self.term.max()) + 1
+            self.by_term = np.sort((self.rows * self.terms + self.term) * self.room + self.pos)
+        low, high = np.maximum(pos - slop, 0), np.minimum(pos + slop, self.room - 1)
+        line = (rows * self.terms + term) * self.room
+        i = np.searchsorted(self.by_term, line + low)
+        return (low <= high) & (term < self.terms) & (i < len(self.by_term)) & (self.by_term[np.minimum(i, len(self.by_term) - 1)] <= line + high)
+
 
 def _first(p: Postings, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, window and shift wherever the rarest term of a window stands."""
@@ -112,27 +125,29 @@ def _close(p: Postings, block: Block, slop: int, share: float) -> list[tuple]:
     """Row, item and the most words of a window that stand within ``slop`` of where its rarest word puts them."""
     row, window, shift = _first(p, block)
     if block.anchor_terms.shape[1] > 1:
-        near = np.zeros(len(row), bool)
-        for d in range(-slop, slop + 1):
-            near |= p.hold(row, shift + block.anchor_offs[window, 1] + d, block.anchor_terms[window, 1])
+        near = p.near(row, shift + block.anchor_offs[window, 1], block.anchor_terms[window, 1], slop)
         row, window, shift = row[near], window[near], shift[near]
     best: dict[tuple, int] = {}
-    item = block.window_item[window]
-    begin = block.anchor_offs[window].min(axis=1) if len(window) else np.empty(0, np.int64)
-    size = np.diff(block.starts)[item]
-    start = np.minimum(begin, np.maximum(size - block.run, 0))
-    words = np.zeros(len(row), np.int64)
-    for k in range(block.run):
-        off = start + k
-        inside = off < size
-        term = block.terms[np.minimum(block.starts[item] + off, len(block.terms) - 1)]
-        near = np.zeros(len(row), bool)
-        for d in range(-slop, slop + 1):
-            near |= p.hold(row, shift + off + d, term)
-        words += near & inside
-    enough = words >= share * block.run
-    for r, i, w in zip(row[enough].tolist(), item[enough].tolist(), words[enough].tolist()):
-        best[r, i] = max(best.get((r, i), 0), w)
+    for at in range(0, len(row), 100_000):
+        r, w, s = row[at : at + 100_000], window[at : at + 100_000], shift[at : at + 100_000]
+        item = block.window_item[w]
+        first, last = block.anchor_offs[w].min(axis=1), block.anchor_offs[w].max(axis=1)
+        size = np.diff(block.starts)[item]
+        # All windows that hold the anchors are scored: their words lie less than ``run`` before or after the first anchor.
+        begin = first - block.run + 1
+        stand = np.zeros((2 * block.run, len(r)), np.int16)
+        for k in range(2 * block.run - 1):
+            off = begin + k
+            inside = np.flatnonzero((off >= 0) & (off < size))
+            term = block.terms[block.starts[item[inside]] + off[inside]]
+            stand[k + 1, inside] = p.near(r[inside], s[inside] + off[inside], term, slop)
+        upto = stand.cumsum(axis=0)
+        start = begin + np.arange(block.run)[:, None]
+        whole = (start >= np.maximum(last - block.run + 1, 0)) & (start <= size - block.run)
+        words = np.where(whole, upto[block.run :] - upto[: block.run], 0).max(axis=0)
+        enough = words >= share * block.run
+        for r_, i, n in zip(r[enough].tolist(), item[enough].tolist(), words[enough].tolist()):
+            best[r_, i] = max(best.get((r_, i), 0), n)
     return [(r, i, w) for (r, i), w in best.items()]
 
 

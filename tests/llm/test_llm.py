@@ -215,6 +215,19 @@ def test_leaks(spark):
     assert {(d, i) for d, i in true} <= {(r.doc_id, r.item_id) for r in index.near().collect()}
 
 
+def test_near_holds_every_exact_passage(spark):
+    # Ten words from anywhere in a long item: most of them stand before the two rarest words of their window.
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    often = [1 / (i + 1) for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, often, k=60))) for i in range(20)]
+    docs = [(1000 * i + a, " ".join(["before", "it", *x.split()[a : a + 10], "after", "it"])) for i, x in items for a in range(51)]
+    docs += [(100_000 + i, " ".join(rng.choices(vocabulary, often, k=80))) for i in range(100)]
+    index = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.words for r in index.near().collect()}
+    assert [d for d, _ in docs if d < 100_000 and got.get((d, d // 1000)) != 10] == []
+
+
 def test_mix(spark):
     rng = random.Random(2)
     docs = [(i, f"{'abc'[i % 3]} text {i} " * rng.randrange(1, 30), ["A-one", "a_one ", "b"][i % 3]) for i in range(600)]
