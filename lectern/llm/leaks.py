@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,8 @@ class Block:
     window_item: np.ndarray
     anchor_terms: np.ndarray  # windows x depth
     anchor_offs: np.ndarray
+    anchor_windows: np.ndarray | None = None  # windows x run, of single anchors: of which of the windows around it each is an anchor
+    anchor_around: np.ndarray | None = None  # windows x (2 * run - 1): the words around it, rarest first
 
 
 def _rarest(block_terms: list[np.ndarray], used: np.ndarray, run: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +66,29 @@ def _rarest(block_terms: list[np.ndarray], used: np.ndarray, run: int, depth: in
     return item[order], terms[order], offs[order]
 
 
+def _anchors(block_terms: list[np.ndarray], used: np.ndarray, run: int, depth: int) -> tuple[np.ndarray, ...]:
+    """Item, term and offset of every word that is among the ``depth`` rarest of a window, with those of the ``run``
+    windows around it of which it is, the earliest first, and the words around it in the order of their rarity."""
+    parts = []
+    for i, t in enumerate(block_terms):
+        if len(t) < run:
+            continue
+        order = np.argsort(used[np.lib.stride_tricks.sliding_window_view(t, run)], axis=1, kind="stable")[:, :depth]
+        start = np.repeat(np.arange(len(order)), order.shape[1])
+        off = start + order.ravel()
+        windows = np.zeros((len(t), run), bool)
+        windows[off, start - off + run - 1] = True
+        off = np.flatnonzero(windows.any(axis=1) & (used[t] > 0))
+        around = off[:, None] + np.arange(1 - run, run)
+        rarity = np.where((around >= 0) & (around < len(t)), used[t[np.clip(around, 0, len(t) - 1)]], np.iinfo(np.int64).max)
+        parts.append((np.full(len(off), i), t[off], off, windows[off], np.argsort(rarity, axis=1, kind="stable").astype(np.int16)))
+    if not parts:
+        return np.empty(0, np.int64), np.empty((0, 1), np.int64), np.empty((0, 1), np.int64), np.empty((0, run), bool), np.empty((0, 2 * run - 1), np.int16)
+    item, terms, offs, windows, around = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(terms, kind="stable")
+    return item[order], terms[order, None], offs[order, None], windows[order], around[order]
+
+
 class Postings:
     """The postings of some documents: document row, place and term, in the order of rows and places."""
 
@@ -121,33 +147,28 @@ def _exact(p: Postings, block: Block) -> list[tuple]:
     return out
 
 
-def _close(p: Postings, block: Block, slop: int, share: float) -> list[tuple]:
-    """Row, item and the most words of a window that stand within ``slop`` of where its rarest word puts them."""
-    row, window, shift = _first(p, block)
-    if block.anchor_terms.shape[1] > 1:
-        near = p.near(row, shift + block.anchor_offs[window, 1], block.anchor_terms[window, 1], slop)
-        row, window, shift = row[near], window[near], shift[near]
+def _close(p: Postings, block: Block, slop: int, least: int) -> list[tuple]:
+    """Row, item and the most words of a window, at least ``least``, that stand within ``slop`` of where one of its
+    anchors puts them."""
+    rows, anchors, shifts = _first(p, block)
+    sizes = np.diff(block.starts)
     best: dict[tuple, int] = {}
-    for at in range(0, len(row), 100_000):
-        r, w, s = row[at : at + 100_000], window[at : at + 100_000], shift[at : at + 100_000]
-        item = block.window_item[w]
-        first, last = block.anchor_offs[w].min(axis=1), block.anchor_offs[w].max(axis=1)
-        size = np.diff(block.starts)[item]
-        # All windows that hold the anchors are scored: their words lie less than ``run`` before or after the first anchor.
-        begin = first - block.run + 1
-        stand = np.zeros((2 * block.run, len(r)), np.int16)
+    for at in range(0, len(rows), 100_000):
+        row, anchor, shift = rows[at : at + 100_000], anchors[at : at + 100_000], shifts[at : at + 100_000]
+        # What each window may still reach: every word that is not there takes one, the rarest words are looked up first.
+        left = np.where(block.anchor_windows[anchor], block.run, 0).astype(np.int16)
         for k in range(2 * block.run - 1):
-            off = begin + k
-            inside = np.flatnonzero((off >= 0) & (off < size))
-            term = block.terms[block.starts[item[inside]] + off[inside]]
-            stand[k + 1, inside] = p.near(r[inside], s[inside] + off[inside], term, slop)
-        upto = stand.cumsum(axis=0)
-        start = begin + np.arange(block.run)[:, None]
-        whole = (start >= np.maximum(last - block.run + 1, 0)) & (start <= size - block.run)
-        words = np.where(whole, upto[block.run :] - upto[: block.run], 0).max(axis=0)
-        enough = words >= share * block.run
-        for r_, i, n in zip(r[enough].tolist(), item[enough].tolist(), words[enough].tolist()):
-            best[r_, i] = max(best.get((r_, i), 0), n)
+            item, around = block.window_item[anchor], block.anchor_around[anchor, k].astype(np.int64)
+            off = block.anchor_offs[anchor, 0] + around - block.run + 1
+            inside = (off >= 0) & (off < sizes[item])
+            term = block.terms[block.starts[item] + np.where(inside, off, 0)]
+            gone = ~(inside & p.near(row, shift + off, term, slop))
+            first = around[:, None] - np.arange(block.run)
+            left -= gone[:, None] & (first >= 0) & (first < block.run)
+            stay = left.max(axis=1, initial=0) >= least
+            row, anchor, shift, left = row[stay], anchor[stay], shift[stay], left[stay]
+        for r, i, n in zip(row.tolist(), block.window_item[anchor].tolist(), left.max(axis=1, initial=0).tolist()):
+            best[r, i] = max(best.get((r, i), 0), n)
     return [(r, i, w) for (r, i), w in best.items()]
 
 
@@ -181,7 +202,7 @@ class PositionalIndex:
         if block:
             yield block
 
-    def _searched(self, run: int, depth: int, search: Callable, columns: list[str]) -> DataFrame:
+    def _searched(self, run: int, depth: int, anchors: Callable, search: Callable, columns: list[str]) -> DataFrame:
         parts = []
         schema = f"key {self.kinds[0]}, item {self.kinds[1]}, " + ", ".join(f"{c} int" for c in columns)
         for held in self._blocks():
@@ -192,9 +213,9 @@ class PositionalIndex:
             for r in postings.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # as many as the block's terms
                 used[r["t"]] = r["n"]
             terms = [np.array([number[w] for w in ws], np.int64) for _, ws in held]
-            window_item, anchor_terms, anchor_offs = _rarest(terms, used, run, depth)
+            looked_up = anchors(terms, used, run, depth)
             starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
-            block = (run, [k for k, _ in held], starts, np.concatenate([*terms, np.empty(0, np.int64)]), window_item, anchor_terms, anchor_offs)
+            block = (run, [k for k, _ in held], starts, np.concatenate([*terms, np.empty(0, np.int64)]), *looked_up)
             parts.append(postings.mapInArrow(_searching(self.spark.sparkContext.broadcast(block), search, columns), schema))
         if not parts:
             return self.spark.createDataFrame([], schema)
@@ -210,13 +231,17 @@ class PositionalIndex:
         kept only where the next two stand at their offsets. A run of that length holds all terms of its windows, so
         none is missed; at the places left, all other terms are intersected.
         """
-        return self._searched(run, min(3, run), _exact, ["doc_pos", "item_pos", "length"]).distinct()
+        return self._searched(run, min(3, run), _rarest, _exact, ["doc_pos", "item_pos", "length"]).distinct()
 
     def near(self, run: int = 10, slop: int = 3, share: float = 0.8) -> DataFrame:
         """key, item, words: documents that hold at least ``share`` of some ``run`` words of an item, each at most
-        ``slop`` places from where the rarest of them puts it: passages with words changed, dropped or put in. The two
-        rarest words must be among them."""
-        found = self._searched(run, min(2, run), lambda p, b: _close(p, b, slop, share), ["words"])
+        ``slop`` places from where one of its rarest words puts it: passages with words changed, dropped or put in.
+
+        If so many words may be missing, one of that many and one more rarest words is there, whichever was changed; all
+        of them are looked up, so names and numbers that no document has need not be among the words found.
+        """
+        least = max(1, math.ceil(share * run - 1e-9))
+        found = self._searched(run, min(run, max(1, run - least + 1)), _anchors, lambda p, b: _close(p, b, slop, least), ["words"])
         return found.groupBy(self.key, self.item).agg(F.max("words").alias("words"))
 
 

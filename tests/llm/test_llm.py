@@ -228,6 +228,21 @@ def test_near_holds_every_exact_passage(spark):
     assert [d for d, _ in docs if d < 100_000 and got.get((d, d // 1000)) != 10] == []
 
 
+def test_near_without_the_rarest_words(spark):
+    # Every word and every two words of a passage changed in turn, its name and number, which no other text has, too.
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(300)]
+    item = [*rng.sample(vocabulary, 12), "zebrano", "4711", *rng.sample(vocabulary, 12)]
+    changes = [(a, c) for a in (6, 8, 11) for n in (1, 2, 3) for c in itertools.combinations(range(10), n)]
+    docs = [(k, " ".join(["x1", "x2", *("changed" if j in c else w for j, w in enumerate(item[a : a + 10])), "x3"])) for k, (a, c) in enumerate(changes)]
+    items = [(1, " ".join(item)), (2, "unknown " + " ".join(item[:9])), (3, "un known words " + " ".join(item[:7]))]
+    docs.append((5000, " ".join(item[:9])))
+    index = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.words for r in index.near().collect()}
+    assert {k: got.get((k, 1)) for k in range(len(changes))} == {k: 10 - len(c) if len(c) < 3 else None for k, (_, c) in enumerate(changes)}
+    assert got[5000, 2] == 9 and (5000, 3) not in got
+
+
 def test_mix(spark):
     rng = random.Random(2)
     docs = [(i, f"{'abc'[i % 3]} text {i} " * rng.randrange(1, 30), ["A-one", "a_one ", "b"][i % 3]) for i in range(600)]
