@@ -22,23 +22,37 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 class Sketching:
     """``shingle`` words per shingle; ``bands`` of ``rows`` MinHash samples; odd sketches of ``bits`` bits.
 
-    Two texts of similarity J share a band with probability 1 - (1 - J ** rows) ** bands. A candidate pair is kept when
-    its sketches estimate at least ``slack`` less than the threshold, about four standard errors of the estimate.
+    Two texts of similarity J share a band with probability 1 - (1 - J ** rows) ** bands. Where bands and rows are not
+    given, they follow from the threshold: a pair that is just at it shares no band with a probability of at most
+    ``missed``, by the most rows, up to five, for which 120 bands are enough. A candidate pair is kept when its sketches
+    estimate at least ``slack`` less than the threshold, about four standard errors of the estimate.
     """
 
     shingle: int = 5
     threshold: float = 0.8
-    bands: int = 40
-    rows: int = 5
+    bands: int = 0
+    rows: int = 0
     bits: int = 512
     slack: float = 0.2
+    missed: float = 0.0005
+
+    def __post_init__(self):
+        needed = lambda rows: int(np.ceil(np.log(self.missed) / np.log1p(-min(self.threshold, 0.999) ** rows)))
+        rows = self.rows or next((r for r in (5, 4, 3, 2) if needed(r) <= 120), 1)
+        object.__setattr__(self, "rows", rows)
+        object.__setattr__(self, "bands", self.bands or max(40, needed(rows)))
+
+    @property
+    def flips(self) -> int:
+        """The samples that go into an odd sketch; more would fill its bits."""
+        return min(200, self.bands * self.rows)
 
     @property
     def most_odd(self) -> int:
         """The most differing bits with which a pair stays a candidate, by the estimator of the odd-sketch paper:
         J = 1 + bits / (4 * samples) * ln(1 - 2 * differing / bits)."""
         least = max(0.0, self.threshold - self.slack)
-        return int(np.ceil(self.bits / 2 * (1 - np.exp(-4 * self.bands * self.rows * (1 - least) / self.bits))))
+        return int(np.ceil(self.bits / 2 * (1 - np.exp(-4 * self.flips * (1 - least) / self.bits))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,19 +89,21 @@ def sketches(flat: np.ndarray, counts: np.ndarray, how: Sketching) -> tuple[np.n
     offset = rng.integers(0, 2**32, samples, dtype=np.uint64).astype(np.uint32)
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
     least = np.empty((len(counts), samples), np.uint32)
-    for i in range(samples):
-        least[:, i] = np.minimum.reduceat(low * factor[i] + (high ^ offset[i]), starts)
+    for at in range(0, len(counts), 256):  # few texts at a time, so that their hashes stay in the cache
+        some = slice(starts[at], starts[at + 256] if at + 256 < len(counts) else None)
+        for i in range(samples):
+            least[at : at + 256, i] = np.minimum.reduceat(low[some] * factor[i] + (high[some] ^ offset[i]), starts[at : at + 256] - starts[at])
     keys = np.zeros((len(counts), how.bands), np.uint64)
     for r in range(how.rows):
         keys = mixed(keys + least[:, r :: how.rows] + np.uint64(r + 1))
     keys += np.arange(how.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     # Every sample flips one bit; samples are told apart by their number, so equal values of two of them do not cancel.
-    spot = mixed(least.astype(np.uint64) + (np.arange(samples, dtype=np.uint64) << np.uint64(32))) % np.uint64(how.bits)
+    spot = mixed(least[:, : how.flips].astype(np.uint64) + (np.arange(how.flips, dtype=np.uint64) << np.uint64(32))) % np.uint64(how.bits)
     odd = np.zeros((len(counts), how.bits // 64), np.uint64)
     row = np.arange(len(counts))
-    for i in range(samples):
+    for i in range(how.flips):
         odd[row, (spot[:, i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (spot[:, i] & np.uint64(63))
-    return mixed(keys), odd
+    return (mixed(keys) >> np.uint64(32)).astype(np.uint32), odd  # half a key is kept; texts that meet by chance are told apart by their sketches
 
 
 def _sketched(how: Sketching):
@@ -101,8 +117,8 @@ def _sketched(how: Sketching):
             if not some.any():
                 continue
             keys, odd = sketches(hashes, counts[some], how)
-            listed = lambda a: pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(some)), listed(keys), listed(odd)], ["rep", "bands", "odd"])
+            listed = lambda a, kind: pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(np.ascontiguousarray(a).view(kind).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(some)), listed(keys, np.int32), listed(odd, np.int64)], ["rep", "bands", "odd"])
 
     return run
 
@@ -147,11 +163,11 @@ class NearDuplicates:
     def _links(self) -> DataFrame:
         how = self.how
         hashed = with_form(self.reps, "text", "form").select("rep", F.transform(words(F.col("form")), lambda w: F.xxhash64(w)).alias("words"))
-        self.sketched = sketched = written(hashed.mapInArrow(_sketched(how), "rep bigint, bands array<bigint>, odd array<bigint>"), "near-sketches")
-        band = sketched.select("rep", F.explode("bands").alias("band"))
+        self.sketched = sketched = written(hashed.mapInArrow(_sketched(how), "rep bigint, bands array<int>, odd array<bigint>"), "near-sketches")
+        band = sketched.select("rep", F.posexplode("bands").alias("at", "band")).select("rep", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("band")).alias("band"))
         pairs = (
             band.withColumnRenamed("rep", "a").join(band.withColumnRenamed("rep", "b"), "band")
-            .where("a < b").select("a", "b").distinct()
+            .where("a < b").select("a", "b").repartition("a").distinct()  # laid out for the next join
         )
         odd = sketched.select("rep", "odd")
         near = pairs.join(odd.toDF("a", "odd_a"), "a").join(odd.toDF("b", "odd_b"), "b")

@@ -13,6 +13,7 @@ from lectern.llm.distinctive import log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
 from lectern.llm.near_duplicates import NearDuplicates, Sketching
+from lectern.llm.queries import TRIPLES
 from lectern.llm.spam import score_pages
 from lectern.llm.splitting import spans, split_oversized
 from lectern.llm.term_counts import TermCounts
@@ -114,6 +115,17 @@ def test_near_duplicate_groups(near):
     assert groups[9003].links == 0 and groups[9003].copies == 2
 
 
+def test_near_duplicates_just_over_the_threshold(spark):
+    # Pairs without a third similar text: 60 triples each, of which 40 to 42 are shared, so J is 0.50, 0.52 or 0.54.
+    rows = []
+    for i in range(400):
+        shared = [f"s{i}x{k}" for k in range(42 + i % 3)]
+        rows += [(2 * i + j, " ".join([*shared, *(f"{'ab'[j]}{i}x{k}" for k in range(62 - len(shared)))])) for j in (0, 1)]
+    op = NearDuplicates(spark.createDataFrame(rows, "chunk_id bigint, text string"), how=TRIPLES)
+    got = {tuple(r) for r in op.pairs().collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 396
+
+
 def test_odd_sketch_limit():
     how = Sketching(shingle=3, threshold=0.5)
     assert 0 < how.most_odd < how.bits // 2
