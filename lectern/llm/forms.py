@@ -84,8 +84,8 @@ UNSETTLED = r"[\x{250}-\x{58f}\x{1ab0}-\x{212b}]"
 NEAR_LOOKALIKES = r"[\x{250}-\x{2af}\x{370}-\x{58f}]"
 #: Greek, Cyrillic and Armenian letters but those for units; in a text without look-alikes, letters proper to them.
 FOREIGN = r"[\x{370}-\x{3a8}\x{3aa}-\x{3bb}\x{3bd}-\x{3c8}\x{3ca}-\x{58f}]"
-#: Any letter of the blocks that lend look-alikes, in a text as it was typed.
-BORROWED = r"[\x{250}-\x{2af}\x{370}-\x{58f}]|[\x{1f00}-\x{1fff}]"
+#: Any letter of the blocks that lend look-alikes, in a text as it was typed, and the styled ones that fold to them.
+BORROWED = r"[\x{250}-\x{2af}\x{370}-\x{58f}]|[\x{1f00}-\x{1fff}]|[\x{213c}-\x{213f}\x{1d6a8}-\x{1d7cb}]"
 LATIN = r"[A-Za-z\x{c0}-\x{24f}]"
 
 

@@ -70,6 +70,16 @@ def test_unify_asks_the_vocabulary(spark):
     assert {("mаchine", "vocabulary"), ("хqzw", "kept"), ("qzwхy", "script")} <= decided
 
 
+def test_unify_keeps_every_row(spark):
+    # Styled Greek letters are folded to Greek ones; every character that is must be seen in the text as it was typed.
+    styled = [c for c, plain in forms.SIGNS.items() if re.search("[\u0370-\u03ff]", plain)]
+    rows = [(i, f"{c} = \U0001d708") for i, c in enumerate(styled)] + [(9000, "\U0001d6fc = \U0001d708"), (9000, "\U0001d6fc = \U0001d708"), (9001, "\U0001d6fc"), (9002, "\u213d and \U0001d7b6"), (9003, None), (9004, "plain")]
+    u = unify_text(spark.createDataFrame(rows, "id bigint, text string"), "text")
+    got = [(r.id, r.form) for r in u.rows.collect()]
+    assert sorted(i for i, _ in got) == sorted(i for i, _ in rows) and (9000, "α = ν") in got
+    assert ("ν", "kept") in {(r.token, r.decision) for r in u.tokens.collect()}
+
+
 def test_same_form_pairs(spark):
     rows = [(i, t) for i, t in enumerate(DIRTY)] + [(50, "plain text"), (51, "plain text"), (51, "plain text"), (52, "рlain text"), (None, "plain text​"), (53, "Plain text")]
     df = spark.createDataFrame(rows, "k bigint, t string").withColumn("form", F.lit(1))
