@@ -10,9 +10,13 @@ from lectern.operators.corpus import Corpus
 
 def ingest(corpus: Corpus, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
     """Feed a stream of (name, text) into a collection. Each micro-batch is one change: documents of a name replace the
-    added one of that name, the last in a batch wins, and the index is rebuilt once per batch."""
+    added one of that name, the last in a batch wins, and the index is rebuilt once per batch.
 
-    def take(batch: DataFrame, _: int) -> None:
-        corpus.add_all(batch)
+    Documents that the collection refuses are kept with the reason (name, text, why) in a Parquet table beside the
+    checkpoint, ``{checkpoint}-refused``, one partition per batch; a batch that is repeated replaces its own."""
+    refused = checkpoint.rstrip("/") + "-refused"
+
+    def take(batch: DataFrame, number: int) -> None:
+        corpus.add_all(batch, f"{refused}/batch={number}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

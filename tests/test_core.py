@@ -248,6 +248,17 @@ def test_ingest(spark, corpus, tmp_path):
     assert corpus.documents().count() == 3
 
 
+def test_ingest_keeps_what_is_refused(spark, corpus, tmp_path):
+    from lectern.streaming.ingest import ingest
+
+    spark.createDataFrame([("fine", "# Fine FN-1\n\nText."), ("???.md", "lost"), ("long", "y" * (4 * 1024 * 1024 + 1))], "name string, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("name string, text string").parquet(str(tmp_path / "in"))
+    ingest(corpus, stream, str(tmp_path / "check")).awaitTermination(120)
+    refused = {r.name: (len(r.text), r.why) for r in spark.read.parquet(str(tmp_path / "check-refused")).collect()}
+    assert refused == {"???.md": (4, "that file has no name this can use"), "long": (4 * 1024 * 1024 + 1, "that document is larger than the 4 MB limit")}
+    corpus.reset()
+
+
 def test_folder(spark, tmp_path):
     from lectern.sources.folder import read_folder, read_pdf_folder
 
