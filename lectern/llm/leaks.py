@@ -1,4 +1,4 @@
-"""Held-out passages inside a corpus, by a positional inverted index (problem 6)."""
+"""Held-out passages inside a corpus, by positions stored by document for the words of the items (problem 6)."""
 
 from __future__ import annotations
 
