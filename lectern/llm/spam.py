@@ -1,20 +1,20 @@
-"""Keyword-stuffed pages and link lists, by an n-gram model of prose (problem 8)."""
+"""Keyword-stuffed pages and link lists, by the perplexity of their word classes under an n-gram model of prose (problem 8)."""
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.shared import written
 from lectern.llm.forms import with_form
 
-# Common function words of the four languages of the collection.
+# Common function words of several languages of Latin script.
 FUNCTION_WORDS = {
     "en": "a after all an and any are as at be because before but by can do for from has have if in into is it its more must"
     " no not of on only or other out over should so than that the their then there they this to until use was what when"
@@ -24,195 +24,307 @@ FUNCTION_WORDS = {
     " vor wenn wer wird zu zum zur",
     "fr": "à au aux avant avec ce ces cette dans de des dès du elle en est et faut il jamais la le les leur mais ne on ou par"
     " pas peut plus pour quand que qui sa sans se semble ses si son sur trop un une",
-    "it": "agli ai al alla anche che chi come con da dal dalla dei del della delle di dopo dove e gli i il la le lo ma nel"
+    "it": "agli ai al alla anche che chi come con da dal dalla dei del della delle di dopo dove e gli i il in la le lo ma nel"
     " nella non o ogni oltre per perché più poi prima può quando se senza si sia sono sul un una uno è",
+    "es": "al antes aunque cada como con cuando de del desde donde el ella en es esta este hasta hay la las lo los más no o"
+    " para pero por porque puede que se ser si sin sobre son su también un una y ya",
+    "pt": "ao antes até com como da das de do dos e em entre essa esse está foi isso mais mas na não nas no nos o os ou para"
+    " pela pelo pode por quando que se sem ser seu sua também um uma",
+    "nl": "aan als bij dan dat de deze die dit door een en er het hij in is kan maar met moet naar niet nog of om onder ook op"
+    " over te tot uit van voor wanneer wat werd wordt zijn zo zonder",
+    "sv": "av att den det där efter eller en ett för från har i inte kan med men måste när och om på ska som till utan var vid är",
+    "pl": "aby ale bez dla do gdy i jak jest już lub może na nie o od oraz po pod przed przez przy się są tak to w z za że",
 }
-# Punctuation with a class of its own.
-SIGNS = ".,;:!?|-–>()[]\"'/*#&=+"
+# Signs with a class of their own; other signs share one, but those that only mark up quotes and emphasis
+# have none.
+SIGNS = ".,;:!?|-–()[]\"'/#&=+"
+MARKUP = ">*"
 
 _WORDS = sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})
-PAD, PARAGRAPH, LINE, NUMBER, CODE, LINK, TAG, CAPITAL, LOWER, CAPITAL_AGAIN, LOWER_AGAIN, OTHER = range(12)
-_SIGN = {s: 12 + i for i, s in enumerate(SIGNS)}
-_FUNCTION = {w: 12 + len(SIGNS) + i for i, w in enumerate(_WORDS)}
-CLASSES = 12 + len(SIGNS) + len(_WORDS)
-assert CLASSES <= 256  # a class is one byte
-
-#: The class two places back only counts by its kind.
-KINDS = np.array([min(c, 12) if c < 12 + len(SIGNS) else 13 for c in range(CLASSES)])
-IS_WORD = np.array([NUMBER <= c <= LOWER_AGAIN or c >= 12 + len(SIGNS) for c in range(CLASSES)])
-IS_CONTENT = np.array([CAPITAL <= c <= LOWER_AGAIN for c in range(CLASSES)])
-IS_AGAIN = np.array([c in (CAPITAL_AGAIN, LOWER_AGAIN) for c in range(CLASSES)])
-IS_PART = np.array([c in (LINE, PARAGRAPH) or (12 <= c < 12 + len(SIGNS) and SIGNS[c - 12] in ",;|>*#") for c in range(CLASSES)])
-IS_FUNCTION = np.array([c >= 12 + len(SIGNS) for c in range(CLASSES)])
-STOPS = np.array([c in (_SIGN["."], _SIGN["!"], _SIGN["?"]) for c in range(CLASSES)])
-
-TOKEN = re.compile(
-    r"(?:https?://|www\.)[^\s)\]]+|(?:[\w-]+\.)+[a-z]+/[^\s)\]]*|#\w+|\d+(?:[.,]\d+)*(?!\w)|\w+(?:[-'’]\w+)*|\n\s*\n\s*|\n|[^\w\s]"
-)
+PARAGRAPH, FUNCTION, NUMBER, CODE, LINK, TAG, CAPITAL, LOWER, CAPITAL_AGAIN, LOWER_AGAIN, OTHER = range(11)
+FIRST_SIGN = OTHER + 1
+CLASSES = FIRST_SIGN + len(SIGNS)  # a class is one byte
+#: How many words back the last function word, figure or full stop lies counts up to here.
+LONGEST = 7
+IS_WORD = np.array([FUNCTION <= c <= LOWER_AGAIN for c in range(CLASSES)])
+ENDS_RUN = np.array([c in (PARAGRAPH, FUNCTION, NUMBER) or (c >= FIRST_SIGN and SIGNS[c - FIRST_SIGN] in ".!?") for c in range(CLASSES)])
 
 
 @dataclass(frozen=True)
 class Spam:
-    """A piece of ``window`` tokens is abnormal ``z`` standard errors from the entropy of prose, in either direction.
-
-    ``memory``: how many words back two mentions of a pair of neighbouring words make the next one a repetition. ``share``: the part of a
-    document's words that must stand in abnormal pieces that look like lists of keywords, links or tags.
-    """
+    """``window``: tokens of a piece. ``memory``: how many words back two mentions of a pair of neighbouring words make
+    the next one a repetition. ``above``, ``below``: how many standard deviations of the pieces of prose make the
+    perplexity of a piece abnormally high or low; shorter pieces may be off by more. ``share``: the part of a page's words
+    in abnormal pieces that makes it spam. ``least``: pages of fewer words cannot be judged."""
 
     window: int = 24
-    z: float = 2.0
     memory: int = 150
+    above: float = 6.0
+    below: float = 4.5
     share: float = 0.5
+    least: int = 8
+
+
+#: Tables that a Python worker makes once.
+_MADE: dict = {}
+
+
+def _made(make):
+    if make.__name__ not in _MADE:
+        _MADE[make.__name__] = make()
+    return _MADE[make.__name__]
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every character below U+10000: its kind (0 sign, 1 letter, 2 digit, 3 blank, 4 line break), its lower case, and
+    its class if it is a sign."""
+    kind, lower, sign = np.zeros(65536, np.uint8), np.arange(65536, dtype=np.uint32), np.full(65536, OTHER, np.uint8)
+    for i in range(65536):
+        c = chr(i)
+        kind[i] = 4 if c == "\n" else 3 if c.isspace() or i == 0 else 1 if c.isalpha() or c == "_" or unicodedata.category(c)[0] == "M" else 2 if c.isalnum() else 0
+        if len(low := c.lower()) == 1 and ord(low) < 65536:
+            lower[i] = ord(low)
+    for i, c in enumerate(SIGNS):
+        sign[ord(c)] = FIRST_SIGN + i
+    return kind, lower, sign
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+
+
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
 
+def _hashes(lower: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the characters of each word; words start at ``starts`` and follow each other in ``lower``."""
+    place = np.arange(len(lower)) - np.repeat(starts, sizes)
+    return _mixed(np.add.reduceat(_mixed(lower.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63] + place.astype(np.uint64), starts)) if len(starts) else np.empty(0, np.uint64)
 
-def classes(text: str, memory: int = 150) -> bytes:
-    """The class of every token, one byte each. Content words whose pair with the word before was said twice within the
-    last ``memory`` words have classes of their own."""
-    out, seen, before, at, never = bytearray(), {}, "", 0, (-memory - 1, -memory - 1)
-    for token in TOKEN.findall(text.replace("\r", "")):
-        first = token[0]
-        if first == "\n":
-            out.append(LINE if len(token) == 1 else PARAGRAPH)
-            continue
-        if not (first.isalnum() or first == "_"):
-            out.append(TAG if first == "#" and len(token) > 1 else _SIGN.get(token, OTHER))
-            continue
-        low = token.lower()
-        at += 1
-        if "/" in token or low.startswith(("http", "www.")):
-            kind = LINK
-        elif (kind := _FUNCTION.get(low)) is not None:
-            pass
-        elif first.isdigit() and not any(c.isalpha() for c in token):
-            kind = NUMBER
-        elif any(c.isdigit() for c in token) or "_" in token:
-            kind = CODE
-        else:
-            again = at - seen.get((before, low), never)[1] <= memory
-            kind = (CAPITAL_AGAIN if again else CAPITAL) if first.isupper() else (LOWER_AGAIN if again else LOWER)
-        seen[before, low] = at, seen.get((before, low), never)[0]
-        before = low
-        out.append(kind)
-    return bytes(out)
-
-
-def _keys(seq: np.ndarray) -> np.ndarray:
-    """The trigram of every token: kind two back, class one back, class."""
-    back1, back2 = np.concatenate([[PARAGRAPH], seq[:-1]]), np.concatenate([[PAD, PARAGRAPH], seq[:-2]])[: len(seq)]
-    return (KINDS[back2] * CLASSES + back1) * CLASSES + seq
-
-
-def pieces(seq: np.ndarray, window: int) -> np.ndarray:
-    """The first token of each piece: paragraphs, the long ones cut into windows, a short rest joined to the one before."""
-    starts = [0]
-    ends = [*(np.flatnonzero(seq == PARAGRAPH) + 1), len(seq)]
-    for end in ends:
-        begin = starts[-1]
-        if end <= begin:
-            continue
-        for s in range(begin + window, end - window // 2, window):
-            starts.append(s)
-        if end < len(seq):
-            starts.append(end)
-    return np.array(starts)
-
-
-def _prose(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which tokens belong to prose: pieces of at least ten words, a fifth of them function words, with a full stop
-    and hardly a repetition."""
-    sizes = np.diff(np.append(starts, len(seq)))
-    of = lambda flags: np.add.reduceat(flags[seq].astype(np.int64), starts)
-    good = (of(IS_WORD) >= 10) & (of(IS_FUNCTION) * 5 >= of(IS_WORD)) & (of(STOPS) > 0) & (of(IS_AGAIN) * 8 <= of(IS_CONTENT))
-    return np.repeat(good, sizes)
-
-
-class ProseModel:
-    """Interpolated trigram probabilities of classes, with the mean and variance of their surprise in prose.
-
-    There are at most 14 * CLASSES ** 2 trigrams, whatever the size of the collection, so the model is held by the
-    driver and sent to the workers.
+
+def _function_words() -> np.ndarray:
+    chars = np.frombuffer("".join(_WORDS).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(w) for w in _WORDS])
+    return np.sort(_hashes(chars, np.cumsum(sizes) - sizes, sizes))
+
+
+def classes(texts: list[str], memory: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """The class of every token of every text in a row, and the number of tokens of each text.
+
+    Words are runs of letters and digits with single joining signs inside; a sign is a token, of white space only a blank
+    line is. Content words whose pair with the content word before was said twice within the last ``memory`` words have
+    classes of their own. All texts are worked on together, character by character, by array operations.
+    """
+    kinds, lowers, signs = _made(_characters)
+    joined = "\0".join(texts) + "\0"
+    chars = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+    kind = kinds[chars]
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
+    alnum = (kind == 1) | (kind == 2)
+    before, after = np.concatenate([[False], alnum[:-1]]), np.concatenate([alnum[1:], [False]])
+    slash = (chars == 47) | (chars == 58)  # / and :, which may follow each other in an address
+    slash_before, slash_after = np.concatenate([[False], slash[:-1]]), np.concatenate([slash[1:], [False]])
+    digit = kind == 2
+    digit_before, digit_after = np.concatenate([[False], digit[:-1]]), np.concatenate([digit[1:], [False]])
+    joins = ((chars == 45) | (chars == 39) | (chars == 0x2019) | (chars == 46)) & before & after
+    joins |= (chars == 44) & digit_before & digit_after
+    joins |= slash & (before | slash_before) & (after | slash_after) & ~((chars == 58) & after & ~digit_after)
+    inside = alnum | joins
+    first = inside & ~np.concatenate([[False], inside[:-1]])
+    space = (kind == 3) | (kind == 4)
+    gap = space & ~np.concatenate([[False], space[:-1]])
+    lone = ~inside & ~space
+    at = np.flatnonzero(first | gap | lone)
+    token = np.full(len(at), OTHER, np.int16)
+    is_word, is_gap = first[at], gap[at]
+    token[lone[at]] = signs[chars[at[lone[at]]]]
+    # white space
+    run = np.flatnonzero(space)
+    breaks = np.add.reduceat((kind[run] == 4).astype(np.int32), np.flatnonzero(gap[run])) if len(run) else np.empty(0, np.int32)
+    token[is_gap] = np.where(breaks > 1, PARAGRAPH, -1)
+    # words
+    body = np.flatnonzero(inside)
+    starts = np.flatnonzero(first[body])
+    if len(starts):
+        sizes = np.diff(np.append(starts, len(body)))
+        low = lowers[chars[body]]
+        hashes = _hashes(low, starts, sizes)
+        some = lambda flags: np.add.reduceat(flags.astype(np.int32), starts) > 0
+        letters, digits, slashes, dots = some(kind[body] == 1), some(digit[body]), some(chars[body] == 47), some(chars[body] == 46)
+        place = at[is_word]
+        capital = lowers[chars[body]] != chars[body]
+        upper = capital[starts] & ((np.add.reduceat(capital.astype(np.int32), starts) < sizes) | (sizes == 1))  # words in capitals count as plain ones
+        tag = (place > 0) & (chars[np.maximum(place - 1, 0)] == 35)
+        link = slashes & dots
+        number, code = digits & ~letters, digits & letters
+        known = _made(_function_words)
+        function = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+        # a word whose pair with the word before was said twice among the last words of its text
+        text = np.searchsorted(ends, place, "right")
+        nth = np.arange(len(hashes))
+        pair = _mixed(np.concatenate([[np.uint64(0)], hashes[:-1]]) + hashes * np.uint64(3) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(pair, kind="stable")
+        back = np.concatenate([order[:2], order[:-2]])
+        again = np.zeros(len(hashes), bool)
+        again[order] = (pair[order] == pair[back]) & (nth[order] - nth[back] <= memory) & (nth[order] > nth[back])
+        again[1:] &= ~function[:-1]
+        cls = np.where(upper, np.where(again, CAPITAL_AGAIN, CAPITAL), np.where(again, LOWER_AGAIN, LOWER)).astype(np.int16)
+        cls[code] = CODE
+        cls[number] = NUMBER
+        cls[function] = FUNCTION
+        cls[link] = LINK
+        cls[tag] = TAG
+        token[is_word] = cls
+        hash_sign = place[tag] - 1  # belongs to its tag
+        drop = np.searchsorted(at, hash_sign)
+        token[drop] = -1
+    keep = (token >= 0) & ~np.isin(chars[at], [ord(c) for c in MARKUP])
+    counts = np.bincount(np.searchsorted(ends, at[keep], "right"), minlength=len(texts)) if len(texts) else np.empty(0, np.int64)
+    return token[keep].astype(np.uint8), counts
+
+
+class Pieces:
+    """Token sequences of some pages in a row, parted into pieces: paragraphs, the long ones cut into about equal parts of
+    about ``window`` tokens. ``keys``: the context and class of every token, its trigram and how many words before it the
+    last function word, figure or full stop stands."""
+
+    def __init__(self, seq: np.ndarray, counts: np.ndarray, how: Spam):
+        some = counts > 0
+        begin = (np.cumsum(counts) - counts)[some]
+        one, two = np.concatenate([[PARAGRAPH], seq[:-1]]).astype(np.int64), np.concatenate([[PARAGRAPH] * 2, seq[:-2]])[: len(seq)].astype(np.int64)
+        one[begin] = two[begin] = PARAGRAPH
+        two[begin[counts[some] > 1] + 1] = PARAGRAPH
+        word = IS_WORD[seq]
+        opens = np.zeros(len(seq), bool)
+        opens[begin] = True
+        so_far = np.cumsum(word) - word
+        since = np.maximum.accumulate(np.where(opens, so_far, 0))
+        since = np.maximum(since, np.concatenate([[0], np.maximum.accumulate(np.where(ENDS_RUN[seq], so_far + word, 0))[:-1]]))
+        self.keys = ((np.minimum(so_far - since, LONGEST) * CLASSES + two) * CLASSES + one) * CLASSES + seq
+        opens |= np.concatenate([[False], seq[:-1] == PARAGRAPH])
+        paragraph = np.flatnonzero(opens)
+        long = np.diff(np.append(paragraph, len(seq)))
+        parts = np.maximum(1, (long + how.window // 2) // how.window)
+        which = np.repeat(np.arange(len(paragraph)), long)
+        piece = (np.cumsum(parts) - parts)[which] + (np.arange(len(seq)) - paragraph[which]) * parts[which] // long[which]
+        self.starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        self.sizes = np.diff(np.append(self.starts, len(seq)))
+        self.seq, self.page, self.how, self.pages = seq, np.searchsorted(np.cumsum(counts), self.starts, "right"), how, len(counts)
+        self.words = self.count(word)
+
+    def count(self, flags: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(flags.astype(np.int64), self.starts)
+
+    def prose(self) -> np.ndarray:
+        """Which pieces the model learns from: at least ten words, a fifth of them function words before a full stop, or a
+        fifth of them figures (rows of data are read as such), hardly a repetition."""
+        of = lambda *c: self.count(np.isin(self.seq, c))
+        stop = of(*(FIRST_SIGN + SIGNS.index(c) for c in ".!?")) > 0
+        spoken = (of(FUNCTION) * 5 >= self.words) & stop
+        data = (of(NUMBER, CODE) * 5 >= self.words) & (of(LINK, TAG) == 0)
+        again, content = of(CAPITAL_AGAIN, LOWER_AGAIN), of(CAPITAL, LOWER, CAPITAL_AGAIN, LOWER_AGAIN)
+        return (self.words >= 10) & (spoken | data) & (again * 8 <= content)
+
+    def bits(self, surprise: np.ndarray) -> np.ndarray:
+        """The mean surprise of the tokens of every piece: the logarithm of its perplexity."""
+        return np.add.reduceat(surprise[self.keys].astype(np.float64), self.starts) / self.sizes
+
+
+def surprise_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits of every trigram with its run, interpolated with shorter contexts, from their counts in prose."""
+    longest = np.zeros((LONGEST + 1) * CLASSES**3)
+    np.add.at(longest, keys, counts)
+    longest = longest.reshape(LONGEST + 1, CLASSES, CLASSES, CLASSES)
+    three = longest.sum(0)
+    two = three.sum(0)
+    p = (two.sum(0) + 0.5) / (two.sum() + 0.5 * CLASSES)
+    for seen in (two, three, longest):
+        p = (seen + 2 * p) / (seen.sum(-1, keepdims=True) + 2)
+    return -np.log2(p).ravel().astype(np.float32)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], how: Spam) -> Iterator[tuple[pa.RecordBatch, Pieces | None]]:
+    """Some pages at a time, with their pieces, if they have any tokens."""
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            raw = part.column("classes").to_pylist()
+            seq = np.frombuffer(b"".join(raw), np.uint8)
+            yield part, Pieces(seq, np.array([len(r) for r in raw]), how) if len(seq) else None
+
+
+def train(sequences: DataFrame, how: Spam) -> tuple[np.ndarray, float, float]:
+    """The model, and the mean and standard deviation of the bits of a piece, all from the prose of the whole collection.
+
+    There are at most (LONGEST + 1) * CLASSES ** 3 counts, whatever the size of the collection.
     """
 
-    def __init__(self, surprise: np.ndarray, mean: float, spread: float):
-        self.surprise, self.mean, self.spread = surprise, mean, spread
-
-    @classmethod
-    def fitted(cls, keys: np.ndarray, counts: np.ndarray) -> ProseModel:
-        tri = np.zeros(14 * CLASSES * CLASSES)
-        np.add.at(tri, keys, counts)
-        tri = tri.reshape(14, CLASSES, CLASSES)
-        bi, uni = tri.sum(0), tri.sum((0, 1))
-        p1 = (uni + 0.5) / (uni.sum() + 0.5 * CLASSES)
-        p2 = (bi + 8 * p1) / (bi.sum(1, keepdims=True) + 8)
-        p3 = (tri + 8 * p2) / (tri.sum(2, keepdims=True) + 8)
-        surprise = -np.log2(p3).ravel().astype(np.float32)
-        total = max(tri.sum(), 1.0)
-        mean = float((tri.ravel() * surprise).sum() / total)
-        return cls(surprise, mean, float(np.sqrt(max((tri.ravel() * (surprise - mean) ** 2).sum() / total, 1e-9))))
-
-    def score(self, seq: np.ndarray, how: Spam) -> tuple[float, float, float]:
-        """Surprise per token in bits, the share of words in abnormal pieces, and the share in those that look like lists."""
-        if not len(seq):
-            return 0.0, 0.0, 0.0
-        bits, starts = self.surprise[_keys(seq)], pieces(seq, how.window)
-        n = np.diff(np.append(starts, len(seq)))
-        of = lambda flags: np.add.reduceat(flags[seq].astype(np.int64), starts)
-        z = (np.add.reduceat(bits, starts) / n - self.mean) / (self.spread / np.sqrt(n))
-        words, content, again, parts, function = of(IS_WORD), of(IS_CONTENT), of(IS_AGAIN), of(IS_PART), of(IS_FUNCTION)
-        linked = np.add.reduceat(np.isin(seq, (LINK, TAG)).astype(np.int64), starts)
-        data = np.add.reduceat(np.isin(seq, (NUMBER, CODE)).astype(np.int64), starts)
-        words = words + np.add.reduceat((seq == TAG).astype(np.int64), starts)
-        odd = np.abs(z) > how.z
-        # A table of numbers, or prose that says something again, is odd too; lists of keywords, links or tags show it.
-        listed = (linked * 8 >= words) | (again * 5 >= content * 2) | ((function * 12 <= words) & (parts * 6 >= words) & (data * 5 <= words))
-        total = max(int(words.sum()), 1)
-        return float(bits.mean()), float(words[odd].sum() / total), float(words[odd & listed].sum() / total)
-
-
-def train(sequences: DataFrame, how: Spam) -> ProseModel:
-    """Count the trigrams of all prose of the collection."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(14 * CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            for raw in batch["classes"]:
-                seq = np.frombuffer(raw, np.uint8).astype(np.int64)
-                if len(seq):
-                    np.add.at(sums, _keys(seq)[_prose(seq, pieces(seq, how.window))], 1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((LONGEST + 1) * CLASSES**3, np.int64)
+        for _, pieces in _batches(batches, how):
+            if pieces:
+                found, n = np.unique(pieces.keys[np.repeat(pieces.prose(), pieces.sizes)], return_counts=True)
+                sums[found] += n
         keys = np.flatnonzero(sums)
-        yield pd.DataFrame({"key": keys, "n": sums[keys]})
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], ["key", "n"])
 
-    counted = sequences.select("classes").mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    return ProseModel.fitted(counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
+    counted = sequences.select("classes").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    surprise = surprise_of(counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
+    sent = sequences.sparkSession.sparkContext.broadcast(surprise)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(3)
+        for _, pieces in _batches(batches, how):
+            if pieces:
+                bits = pieces.bits(sent.value)[pieces.prose() & (pieces.sizes >= how.window // 2)]
+                sums += len(bits), bits.sum(), (bits**2).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], ["n", "s", "q"])
+
+    n, s, q = sequences.select("classes").mapInArrow(moments, "n double, s double, q double").agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+    mean = s / n if n else 0.0
+    return surprise, mean, float(np.sqrt(max(q / n - mean**2, 1e-9))) if n else 1.0
 
 
 def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text", how: Spam = Spam()) -> DataFrame:
-    """key, bits (surprise per token), abnormal (share of words in pieces of abnormal perplexity), listed (share of words
-    in those that are lists of keywords, links or tags), spam.
+    """key, bits (surprise per token), abnormal (share of words in pieces of abnormal perplexity), spam.
 
     Texts become sequences of function words and word classes; a trigram model of them is trained on all prose of the
-    collection, and pieces of a page are held against the entropy of prose. Two passes over the pages, the second one
-    over the sequences alone; nothing is shuffled but the counts of the model.
+    collection, and so are the limits of what is normal: the perplexity of a piece is abnormal if it lies further from that
+    of prose than ``how`` allows, on either side. A page is spam if more than ``how.share`` of its words stand in abnormal
+    pieces, and by nothing else. One pass over the texts, three over the sequences, which take a byte a token; nothing is
+    shuffled but the counts of the model.
 
     Nulls: rows with a null key or text are left out. Empty and blank texts have no words and are no spam. Repeated rows
-    give repeated rows. A collection without prose gives a flat model. Other columns are ignored.
+    give repeated rows. A collection without prose gives a flat model and no spam. Other columns are ignored.
     """
     kind, memory = df.schema[key].dataType.simpleString(), how.memory
     rows = with_form(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "form")
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "classes": [classes(t, memory) for t in batch["form"]]})
-
-    sequences = written(rows.select("key", "form").mapInPandas(classify, f"key {kind}, classes binary"), "spam-classes")
-    trained = train(sequences, how)
-    sent = df.sparkSession.sparkContext.broadcast((trained.surprise, trained.mean, trained.spread))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = ProseModel(*sent.value)
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(np.frombuffer(raw, np.uint8).astype(np.int64), how) for raw in batch["classes"]]
-            yield pd.DataFrame(scores, columns=["bits", "abnormal", "listed"]).assign(key=batch["key"].to_numpy())[["key", "bits", "abnormal", "listed"]]
-
-    scored = sequences.mapInPandas(score, f"key {kind}, bits double, abnormal double, listed double")
-    return scored.withColumn("spam", F.col("listed") > how.share).withColumnRenamed("key", key)
+            for at in range(0, len(batch), 200):  # so many texts stay in the cache
+                part = batch.slice(at, 200)
+                seq, counts = classes([t.replace("\r", "").replace("\0", " ") for t in part.column("form").to_pylist()], memory)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                listed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(seq)])
+                yield pa.RecordBatch.from_arrays([part.column("key"), listed], ["key", "classes"])
+
+    sequences = written(rows.select("key", "form").mapInArrow(classify, f"key {kind}, classes binary"), "spam-classes")
+    sent = df.sparkSession.sparkContext.broadcast(train(sequences, how))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surprise, mean, spread = sent.value
+        for part, pieces in _batches(batches, how):
+            words, tokens, bits, odd = (np.zeros(len(part)) for _ in range(4))
+            if pieces:
+                each = pieces.bits(surprise)
+                scale = spread * np.sqrt(np.maximum(how.window / pieces.sizes, 1))
+                abnormal = (each > mean + how.above * scale) | (each < mean - how.below * scale)
+                total = lambda x: np.bincount(pieces.page, x, len(part))  # noqa: B023, E731
+                words, tokens, bits, odd = total(pieces.words), total(pieces.sizes), total(each * pieces.sizes), total(pieces.words * abnormal)
+            share = odd / np.maximum(words, 1)
+            spam = (share > how.share) & (words >= how.least)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(bits / np.maximum(tokens, 1)), pa.array(share), pa.array(spam)], ["key", "bits", "abnormal", "spam"])
+
+    return sequences.mapInArrow(score, f"key {kind}, bits double, abnormal double, spam boolean").withColumnRenamed("key", key)

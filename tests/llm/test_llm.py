@@ -5,10 +5,11 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import forms
+from lectern.llm import forms, spam
 from lectern.llm.distinctive import log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
@@ -281,7 +282,7 @@ def test_mix(spark):
     assert {tuple(r) for r in again} == {tuple(r) for r in chosen}
 
 
-def test_spam(spark):
+def test_spam(spark, monkeypatch):
     rng = random.Random(4)
     parts = "valve hopper belt roller nozzle tray shroud gasket".split()
     frames = [
@@ -295,8 +296,21 @@ def test_spam(spark):
     rows += [(900 + i, "\n".join(f"buy {rng.choice(parts)} pump" for _ in range(60))) for i in range(3)]
     rows += [(910, " ".join(f"#{rng.choice(parts)}_{i}" for i in range(40))), (911, "\n".join(f"https://shop.test/{p}/1" for p in parts * 4)), (912, " | ".join(p.title() for p in parts * 8))]
     rows += [(920, None), (921, ""), (922, prose() + "\n\nSee https://docs.test/1"), (923, "\n".join(f"| PE-{i} | {rng.choice(parts)}, dry to the touch | {i}.2 kg |" for i in range(30)))]
-    got = {r.doc_id: r.spam for r in score_pages(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1))).collect()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1))
+    got = {r.doc_id: r.spam for r in score_pages(df).collect()}
     assert {i for i, s in got.items() if s} == {900, 901, 902, 910, 911, 912} and 920 not in got and got[921] is False
+    # Perplexity alone decides: under a flat model, where every class is as likely, no page is spam.
+    monkeypatch.setattr(spam, "surprise_of", lambda keys, counts: np.full((spam.LONGEST + 1) * spam.CLASSES**3, 5, np.float32))
+    assert score_pages(df).where("spam").isEmpty()
+
+
+def test_spam_classes():
+    text = "The drive belt, the drive belt and the Drive belt!\n\nSee https://shop.test/p/1 #lock_nut E-42 7.5 kg\n> ABC"
+    seq, counts = spam.classes(["", text, "x"])
+    assert counts.tolist() == [0, len(seq) - 1, 1]
+    comma, full = spam.FIRST_SIGN + spam.SIGNS.index(","), spam.FIRST_SIGN + spam.SIGNS.index("!")
+    fun, low, cap = spam.FUNCTION, spam.LOWER, spam.CAPITAL
+    assert seq[:-1].tolist() == [fun, low, low, comma, fun, low, low, fun, fun, cap, spam.LOWER_AGAIN, full, spam.PARAGRAPH, cap, spam.LINK, spam.TAG, spam.CODE, spam.NUMBER, low, low]
 
 
 def test_empty_tables(spark):
