@@ -127,11 +127,11 @@ def with_folded(df: DataFrame, text: str, out: str) -> DataFrame:
 def with_form(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the one form of ``text`` as ``out``: what a reader sees, written with ordinary characters.
 
-    Look-alike letters are repaired by script alone: in a text without any letter proper to another alphabet all of
-    them, else only those in tokens that also hold Latin letters. ``unify_text`` adds the vocabulary to that decision.
+    Look-alike letters are repaired by script alone: in a text with Latin letters and without any letter proper to another
+    alphabet all of them, else only those in tokens that also hold Latin letters. ``unify_text`` adds the vocabulary to that decision.
     Null gives null, empty gives empty; line breaks, case, accents and raised digits stay.
     """
     o, plain, odd = F.col(out), F.col("__plain"), F.col(ODD_FLAG)
     df = with_folded(df, text, out).withColumn("__plain", F.when(odd & o.rlike(NEAR_LOOKALIKES), plain_letters(o)))
-    df = df.withColumn(out, F.when(plain.isNull(), o).when(~plain.rlike(FOREIGN), plain).otherwise(_tokenwise(o)))
+    df = df.withColumn(out, F.when(plain.isNull(), o).when(~plain.rlike(FOREIGN) & o.rlike(LATIN), plain).otherwise(_tokenwise(o)))
     return df.withColumn(out, F.when(odd, _icu("compose", o)).otherwise(o)).drop(ODD_FLAG, "__plain")
