@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.distinctive import log_entropy
+from lectern.llm.distinctive import concentrated, log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
 from lectern.llm.near_duplicates import NearDuplicates, Sketching
@@ -19,15 +19,21 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def p1_found(spark, d):
+def _texts(spark, d):
+    """Both fields of problem 1 as rows field, id, text; their tokens are one vocabulary."""
     fields = (("chunk.text", "chunk", "chunk_id", "text"), ("request.question", "request", "request_id", "question"))
-    a, b = (same_form_pairs(_table(spark, d, t), key, text).select(F.lit(field).alias("field"), "id_a", "id_b") for field, t, key, text in fields)
+    a, b = (_table(spark, d, t).select(F.lit(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")) for field, t, key, text in fields)
     return a.unionByName(b)
 
 
+def p1_found(spark, d):
+    return same_form_pairs(_texts(spark, d), "id", "text", "field")
+
+
 def p1_tokens(spark, d):
-    """The tokens of chunks that hold look-alike letters, with what was decided about each."""
-    return unify_text(_table(spark, d, "chunk"), "text").tokens
+    """The tokens of both fields that hold look-alike letters, with what was decided about each."""
+    tokens = unify_text(_texts(spark, d), "text").tokens
+    return tokens.groupBy("token", "candidate", "decision").agg(F.sum("texts").alias("texts"))
 
 
 #: The case of problem 2 in this project's data: word triples, half of them shared.
@@ -43,8 +49,7 @@ def p2_groups(spark, d):
 
 
 def p3_found(spark, d):
-    scored = log_entropy(_table(spark, d, "chunk"), min_records=4)
-    return scored.where(5 * F.col("records") >= 4 * F.col("all_records")).select("document", "term")
+    return concentrated(_table(spark, d, "chunk"), min_records=4, percent=80).select("document", "term")
 
 
 def p3_terms(spark, d):
@@ -68,6 +73,18 @@ def p5_found(spark, d):
     return counts.marked().where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p5_changes(spark, d):
+    """The counts after a life of changes: all chunks and all questions are added, a batch comes twice, then every chunk is
+    changed from its text to its heading."""
+    chunk, request = _table(spark, d, "chunk"), _table(spark, d, "request")
+    counts = TermCounts(spark).apply(added=chunk, batch=1)
+    for _ in range(2):
+        counts.apply(added=request, key="request_id", text="question", batch=2)
+    headed = chunk.where(F.col("text").isNotNull()).select("chunk_id", F.coalesce("heading", F.lit("")).alias("text"))
+    counts.apply(added=headed, deleted=chunk, batch=3)
+    return counts.marked()
+
+
 def _leaks(spark, d):
     return PositionalIndex(_table(spark, d, "documents"), _table(spark, d, "eval_item"))
 
@@ -96,4 +113,4 @@ def p8_scores(spark, d):
     return score_pages(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p6_found, p6_near, p7_mix, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tokens, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_pieces, p5_found, p5_changes, p6_found, p6_near, p7_mix, p7_shares, p8_found, p8_scores)}

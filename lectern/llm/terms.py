@@ -30,13 +30,19 @@ def words(form: Column) -> Column:
     return F.filter(split_words(form), lambda w: w != "")
 
 
-def term_rows(recs: DataFrame, *keep: str, text: str = "text", least: int = 3) -> DataFrame:
+def term_rows(recs: DataFrame, *keep: str, text: str = "text", least: int = 3, whole: bool = False) -> DataFrame:
     """Terms of at least ``least`` characters: ``keep``, ``term`` and ``first``.
 
     Every occurrence is a row with ``first`` 0, and every distinct term of a record one more row with ``first`` 1, so
-    one aggregation counts occurrences and records without a group per record. All of it runs in generated code.
+    one aggregation counts occurrences and records without a group per record. All of it runs in generated code. With
+    ``whole`` every record has one more row with the empty term and ``first`` 1, so that the records are counted too.
     """
     df = with_form(recs, text, "__form").select(*keep, split_words(F.col("__form")).alias("__t"))
     lists = F.array(F.struct(F.lit(0).alias("first"), F.col("__t").alias("t")), F.struct(F.lit(1).alias("first"), F.array_distinct("__t").alias("t")))
+    if whole:
+        lists = F.array_append(lists, F.struct(F.lit(2).alias("first"), F.array(F.lit("")).alias("t")))
     df = df.select(*keep, F.inline(lists)).select(*keep, "first", F.explode("t").alias("term"))
-    return df.where(F.length("term") >= least)
+    if not whole:
+        return df.where(F.length("term") >= least)
+    df = df.where((F.length("term") >= least) | (F.col("first") == 2))
+    return df.withColumn("first", F.least("first", F.lit(1)))

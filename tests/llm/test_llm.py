@@ -10,13 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import forms, spam
-from lectern.llm.distinctive import log_entropy
+from lectern.llm.distinctive import concentrated, least_weight, log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
 from lectern.llm.near_duplicates import NearDuplicates, Sketching
 from lectern.llm.queries import TRIPLES
 from lectern.llm.spam import score_pages
-from lectern.llm.splitting import spans, split_oversized
+from lectern.llm.splitting import LEVELS, hierarchy, spans, split_oversized
 from lectern.llm.term_counts import TermCounts
 from lectern.llm.unify import same_form_pairs, unify_text
 
@@ -71,6 +71,18 @@ def test_unify_asks_the_vocabulary(spark):
     assert {("mаchine", "vocabulary"), ("хqzw", "kept"), ("qzwхy", "script")} <= decided
 
 
+def test_unify_leaves_words_of_other_alphabets(spark):
+    # Words of look-alikes alone are repaired only where the collection has the result; codes by the exit.
+    rows = [(1, "Sugar is Сахар here"), (2, "the СОАТ is red"), (3, "a red coat"), (4, "хор сор"), (5, "see Е-4412 now")]
+    u = unify_text(spark.createDataFrame(rows, "id bigint, text string"), "text")
+    assert {r.id: r.form for r in u.rows.collect()} == {1: "Sugar is Сахар here", 2: "the COAT is red", 3: "a red coat", 4: "хор сор", 5: "see E-4412 now"}
+    assert {(r.token, r.decision) for r in u.tokens.collect()} == {("Сахар", "kept"), ("СОАТ", "vocabulary"), ("хор", "kept"), ("сор", "kept"), ("Е-4412", "code")}
+    nothing = spark.createDataFrame([], "token string")
+    assert {r.id: r.form for r in unify_text(spark.createDataFrame(rows, "id bigint, text string"), "text", vocabulary=nothing).rows.collect()}[2] == "the СОАТ is red"
+    same = spark.createDataFrame([(1, "red COAT"), (2, "red СОАТ"), (3, "coat")], "id bigint, text string")
+    assert [tuple(r) for r in same_form_pairs(same, "id", "text").collect()] == [(1, 2)] and same_form_pairs(same, "id", "text", vocabulary=nothing).isEmpty()
+
+
 def test_unify_keeps_every_row(spark):
     # Styled Greek letters are folded to Greek ones; every character that is must be seen in the text as it was typed.
     styled = [c for c, plain in forms.SIGNS.items() if re.search("[\u0370-\u03ff]", plain)]
@@ -156,7 +168,7 @@ def test_term_counts_by_changes(spark):
     table = term_table([(i, t) for i, _, t in TEXTS])
     every = {w for t in table.values() for w in t}
     assert whole == {w: (sum(t.count(w) for t in table.values()), sum(w in t for t in table.values())) for w in every}
-    assert counts.total().first()[0] == len(table)
+    assert counts.total() == len(table)
     # Record 1 goes, record 3 changes: the state must be that of a recount.
     counts.apply(added=chunks(spark, [(3, "b", None, "zeta alpha")]), deleted=df.where("chunk_id in (1, 3)"))
     after = {k: v for k, v in table.items() if k[0] not in (1, 3)} | {(3, "zeta alpha"): ["zeta", "alpha"]}
@@ -164,7 +176,27 @@ def test_term_counts_by_changes(spark):
     assert {r.term: (r.occurrences, r.records) for r in counts.counts().collect()} == {w: (sum(t.count(w) for t in after.values()), sum(w in t for t in after.values())) for w in every}
     assert {r.term: r.mark for r in counts.marked(2, 5).collect()}["alpha"] == "common"
     # Another handle on the same folder sees the last version.
-    assert TermCounts(spark, counts.place, buckets=3).total().first()[0] == len(after)
+    assert TermCounts(spark, counts.place).total() == len(after)
+
+
+def test_term_counts_touch_few_buckets(spark):
+    import os
+
+    words = [f"word{i}" for i in range(3000)]
+    counts = TermCounts(spark, buckets=64).apply(added=chunks(spark, [(i, None, None, " ".join(words[i::30])) for i in range(30)]), batch="a")
+    before = {tuple(r) for r in counts.counts().collect()}
+    counts.apply(added=chunks(spark, [(99, None, None, "word1 other")]), batch="b")
+    place = counts.place.removeprefix("file://")
+    assert len([b for b in os.listdir(f"{place}/v2") if b.startswith("bucket=")]) <= 3  # two terms and the number of records
+    same = counts.apply(added=chunks(spark, [(99, None, None, "word1 other")]), batch="b")
+    assert same.state["version"] == 2 and {tuple(r) for r in counts.counts().collect()} == before - {("word1", 1, 1)} | {("word1", 2, 2), ("other", 1, 1)}
+    counts.apply(deleted=chunks(spark, [(99, None, None, "word1 other")]), batch="c")
+    assert {tuple(r) for r in counts.counts().collect()} == before and counts.total() == 30
+    for i in range(3):
+        counts.apply(added=chunks(spark, [(200 + i, None, None, "word1")]))
+    assert len([v for v in os.listdir(place) if v.startswith(("v", "delta"))]) <= 5  # replaced versions are removed
+    counts.apply(deleted=chunks(spark, [(i, None, None, " ".join(words[i::30])) for i in range(30)]), batch="d")
+    assert {tuple(r) for r in counts.counts().collect()} == {("word1", 3, 3)} and counts.total() == 3
 
 
 def test_log_entropy(spark):
@@ -186,6 +218,28 @@ def test_log_entropy(spark):
         assert got[k].weight == pytest.approx(weight) and got[k].all_records == records
 
 
+def test_concentrated(spark):
+    # Against the plain definition, with owners of all sizes; the weights decide and lose no true row.
+    import math
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), None, " ".join({f"t{int(rng.paretovariate(0.4))}" for _ in range(8)} | {f"own{i % 5}"})) for i in range(400)]
+    table = {(i, d, t): {w for w in t.split() if len(w) >= 3} for i, d, _, t in rows}
+    true = set()
+    for w in {w for t in table.values() for w in t}:
+        every = [d for (_, d, _), t in table.items() if w in t]
+        true |= {(d, w) for d in set(every) - {None} if every.count(d) >= 4 and every.count(d) >= 0.8 * len(every)}
+    rows += [(1000 + i, "e", None, f"only{i % 3} rest") for i in range(12)]
+    true |= {("e", f"only{i}") for i in range(3)} | {("e", "rest")}
+    got = concentrated(chunks(spark, rows))
+    assert {(r.document, r.term) for r in got.collect()} == true and len(true) > 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "ln(" in plan and "log1p(" in plan.lower()
+    bound = spark.range(1).select(least_weight(4, 80, F.lit(5)).alias("x")).first().x
+    light = log_entropy(chunks(spark, rows), min_records=4, by="records").where(F.col("weight") < bound)
+    assert not light.isEmpty() and bound == pytest.approx(math.log(5) * (1 - (-0.8 * math.log(0.8) - 0.2 * math.log(0.2) + 0.2 * math.log(4)) / math.log(5)))
+
+
 def test_spans_round_trip():
     rng = random.Random(3)
     for _ in range(300):
@@ -199,7 +253,8 @@ def test_spans_round_trip():
             end = max(end, b)
         assert not text[end:].strip()
         for (a, b, _), (c, d, _) in itertools.pairwise(pieces):
-            assert c <= b and (b - c == overlap or b - a < overlap or c == a) and d > b
+            assert b - c == overlap and a < c and d > b
+        assert hierarchy(text, room)[1] == next((level for level in ("paragraph", "sentence", "word") if all(len(p.strip()) <= room for p in LEVELS[level].split(text))), "none")
 
 
 def test_split_oversized(spark):
