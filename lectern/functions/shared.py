@@ -33,3 +33,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark, place = df.sparkSession, new_place(df.sparkSession, what)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    """Remove a table, or a part of one, that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
