@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shared import written
+from lectern.functions.shared import discard, new_place, written
 from lectern.llm.forms import with_form
 from lectern.llm.terms import words
 
@@ -20,39 +20,54 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class Sketching:
-    """``shingle`` words per shingle; ``bands`` of ``rows`` MinHash samples; odd sketches of ``bits`` bits.
+    """``shingle`` words per shingle; ``samples`` MinHash values a text; ``bands`` of ``rows`` samples; odd sketches of
+    ``bits`` bits.
 
     Two texts of similarity J share a band with probability 1 - (1 - J ** rows) ** bands. Where bands and rows are not
-    given, they follow from the threshold: a pair that is just at it shares no band with a probability of at most
-    ``missed``, by the most rows, up to five, for which 120 bands are enough. A candidate pair is kept when its sketches
-    estimate at least ``slack`` less than the threshold, about four standard errors of the estimate.
+    given, they follow from the threshold: a pair that is just at it shares no band with a probability of about
+    ``missed``, by the most rows, up to five, for which 160 bands are enough. Bands draw their samples at random and may
+    share some. A candidate pair is kept when its sketches differ in no more bits than those of a pair at the threshold
+    do, plus ``errors`` standard errors. Buckets of more than ``large`` texts are compared sketch by sketch in blocks
+    instead of being written out as pairs.
     """
 
     shingle: int = 5
     threshold: float = 0.8
     bands: int = 0
     rows: int = 0
-    bits: int = 512
-    slack: float = 0.2
-    missed: float = 0.0005
+    samples: int = 384
+    bits: int = 1024
+    errors: float = 3.3
+    missed: float = 0.01
+    large: int = 32
 
     def __post_init__(self):
         needed = lambda rows: int(np.ceil(np.log(self.missed) / np.log1p(-min(self.threshold, 0.999) ** rows)))
-        rows = self.rows or next((r for r in (5, 4, 3, 2) if needed(r) <= 120), 1)
+        rows = self.rows or next((r for r in (5, 4, 3, 2) if needed(r) <= 160), 1)
         object.__setattr__(self, "rows", rows)
-        object.__setattr__(self, "bands", self.bands or max(40, needed(rows)))
+        object.__setattr__(self, "bands", self.bands or max(10, needed(rows)))
 
     @property
     def flips(self) -> int:
         """The samples that go into an odd sketch; more would fill its bits."""
-        return min(200, self.bands * self.rows)
+        return min(self.samples, self.bits * 3 // 8)
 
     @property
     def most_odd(self) -> int:
-        """The most differing bits with which a pair stays a candidate, by the estimator of the odd-sketch paper:
-        J = 1 + bits / (4 * samples) * ln(1 - 2 * differing / bits)."""
-        least = max(0.0, self.threshold - self.slack)
-        return int(np.ceil(self.bits / 2 * (1 - np.exp(-4 * self.flips * (1 - least) / self.bits))))
+        """The most differing bits with which a pair stays a candidate. Of n bits, k flips leave (1 - exp(-4 k (1 - J) / n)) / 2
+        of them different; the error is that of so many bits and that of k samples."""
+        n, k, j = self.bits, self.flips, self.threshold
+        left = np.exp(-4 * k * (1 - j) / n)
+        part = (1 - left) / 2
+        error = np.sqrt(n * part * (1 - part) + (2 * k * left) ** 2 * j * (1 - j) / k)
+        return int(np.ceil(n * part + self.errors * error))
+
+    def members(self) -> np.ndarray:
+        """Which samples each band is made of: bands x rows."""
+        rng = np.random.default_rng(20240301)
+        if self.bands * self.rows <= self.samples:
+            return rng.permutation(self.samples)[: self.bands * self.rows].reshape(self.bands, self.rows)
+        return np.array([rng.choice(self.samples, self.rows, replace=False) for _ in range(self.bands)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,44 +96,146 @@ def shingle_hashes(flat: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def sketches(flat: np.ndarray, counts: np.ndarray, how: Sketching) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x bands) and odd sketches (texts x bits / 64) of texts with at least one shingle each."""
+    """Band keys (texts x bands, 64 bits) and odd sketches (texts x bits / 64) of texts with at least one shingle each."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    rng = np.random.default_rng(20240229)
-    samples = how.bands * how.rows
-    factor = (rng.integers(0, 2**32, samples, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-    offset = rng.integers(0, 2**32, samples, dtype=np.uint64).astype(np.uint32)
+    factor = np.random.default_rng(20240229).integers(0, 2**32, how.samples, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((len(counts), samples), np.uint32)
-    for at in range(0, len(counts), 256):  # few texts at a time, so that their hashes stay in the cache
-        some = slice(starts[at], starts[at + 256] if at + 256 < len(counts) else None)
-        for i in range(samples):
-            least[at : at + 256, i] = np.minimum.reduceat(low[some] * factor[i] + (high[some] ^ offset[i]), starts[at : at + 256] - starts[at])
-    keys = np.zeros((len(counts), how.bands), np.uint64)
-    for r in range(how.rows):
-        keys = mixed(keys + least[:, r :: how.rows] + np.uint64(r + 1))
-    keys += np.arange(how.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    least = np.empty((len(counts), how.samples), np.uint32)
+    for at in range(0, len(counts), 128):  # few texts at a time, so that their hashes stay in the cache
+        begin = starts[at : at + 128]
+        some = slice(begin[0], starts[at + 128] if at + 128 < len(counts) else None)
+        one, two, inner = low[some], high[some], begin - begin[0]
+        work = np.empty_like(one)
+        for i in range(how.samples):
+            np.multiply(one, factor[i], out=work)
+            np.add(work, two, out=work)
+            least[at : at + 128, i] = np.minimum.reduceat(work, inner)
+    keys = np.tile(np.arange(how.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(counts), 1))
+    for samples in how.members().T:
+        keys = mixed(keys + least[:, samples])
     # Every sample flips one bit; samples are told apart by their number, so equal values of two of them do not cancel.
     spot = mixed(least[:, : how.flips].astype(np.uint64) + (np.arange(how.flips, dtype=np.uint64) << np.uint64(32))) % np.uint64(how.bits)
     odd = np.zeros((len(counts), how.bits // 64), np.uint64)
     row = np.arange(len(counts))
     for i in range(how.flips):
         odd[row, (spot[:, i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (spot[:, i] & np.uint64(63))
-    return (mixed(keys) >> np.uint64(32)).astype(np.uint32), odd  # half a key is kept; texts that meet by chance are told apart by their sketches
+    return keys, odd
 
 
-def _sketched(how: Sketching):
+#: About so many band keys meet in one task.
+MEETING = 1_000_000
+#: Texts of a large bucket are compared in blocks of about so many.
+BLOCK = 512
+
+
+def packed(keys: np.ndarray, width: int) -> np.ndarray:
+    """Ascending keys as the gaps between them; a gap of the largest number of ``width`` bytes or more is several of it."""
+    top = np.uint64(2 ** (8 * width) - 1)
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    more = (gaps // top).astype(np.int64)
+    out = np.full(len(keys) + more.sum(), top, f"<u{width}")
+    out[np.cumsum(more + 1) - 1] = gaps % top
+    return out
+
+
+def unpacked(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64)[gaps != np.iinfo(gaps.dtype).max]
+
+
+def _sketched(how: Sketching, bits: int, parts: int):
+    """Two kinds of rows: texts (id, rep, odd), and their band keys (part, at, gaps, who), packed by part of the key space.
+
+    An id is the number of the batch and the place in it; ids are stored, so it does not matter how batches come to be.
+    """
+    width = next(w for w in (2, 4, 8) if w == 8 or 2 ** max(0, bits - 20) < 2 ** (8 * w - 2))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        task = TaskContext.get().partitionId()
+        pieces = (whole.slice(at, 10_000) for whole in batches for at in range(0, len(whole), 10_000))
+        for number, batch in enumerate(pieces):
             lists = batch.column("words")
             sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            flat = np.asarray(lists.flatten()).view(np.uint64)
-            hashes, counts = shingle_hashes(flat, sizes, how.shingle)
+            hashes, counts = shingle_hashes(np.asarray(lists.flatten()).view(np.uint64), sizes, how.shingle)
             some = counts > 0
             if not some.any():
                 continue
             keys, odd = sketches(hashes, counts[some], how)
-            listed = lambda a, kind: pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(np.ascontiguousarray(a).view(kind).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(some)), listed(keys, np.int32), listed(odd, np.int64)], ["rep", "bands", "odd"])
+            at, n = (task << 20) | number, len(keys)
+            none = lambda kind, k=n: pa.nulls(k, kind)
+            words = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * odd.shape[1], pa.array(odd.view(np.int64).ravel()))
+            ids = pa.array((np.int64(at) << 16) | np.arange(n))
+            names = ["kind", "id", "rep", "odd", "part", "at", "gaps", "who"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids, batch.column("rep").filter(pa.array(some)), words, none(pa.int32()), none(pa.int64()), none(pa.binary()), none(pa.binary())], names)
+            keys = (keys >> np.uint64(64 - bits)).ravel()
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], (order // how.bands).astype("<u2")
+            span = (np.uint64(1) << np.uint64(bits)) // np.uint64(parts) + np.uint64(1)
+            edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) * span)
+            held = np.flatnonzero(np.diff(edges))
+            gaps = [packed(keys[edges[p] : edges[p + 1]] - np.uint64(p) * span, width).tobytes() for p in held]
+            whose = [who[edges[p] : edges[p + 1]].tobytes() for p in held]
+            k = len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none(pa.int64(), k), none(batch.schema.field("rep").type, k), none(words.type, k), pa.array(held.astype(np.int32)), pa.array(np.full(k, at, np.int64)), pa.array(gaps, pa.binary()), pa.array(whose, pa.binary())], names)
+
+    return run, width
+
+
+def _met(how: Sketching, width: int):
+    """Of the band keys of one part: a and b, the ids of pairs that share a small bucket; a and bucket, the members of large
+    buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gaps = [np.frombuffer(g, f"<u{width}") for g in table.column("gaps").to_pylist()]
+        who = [np.frombuffer(w, "<u2") for w in table.column("who").to_pylist()]
+        keys = np.concatenate([unpacked(g) for g in gaps])
+        ids = np.concatenate([(np.int64(at) << 16) | w.astype(np.int64) for at, w in zip(table.column("at").to_pylist(), who)])
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(first, len(keys)))
+        many = np.repeat(size, size)
+        part = np.int64(table.column("part")[0].as_py())
+        large = many > how.large
+        buckets = (part << 40) | np.repeat(np.arange(len(first)), size)[large]
+        members = ids[large]
+        met = (many > 1) & ~large
+        keys, ids = keys[met], ids[met]
+        a, b = [], []
+        for apart in range(1, min(how.large, int(many[met].max(initial=1)))):
+            same = np.flatnonzero(keys[apart:] == keys[:-apart])
+            a.append(ids[same])
+            b.append(ids[same + apart])
+        a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        none = lambda k: pa.nulls(k, pa.int64())
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(members)]),
+            "b": pa.concat_arrays([pa.array(pairs[:, 1]), none(len(buckets))]),
+            "bucket": pa.concat_arrays([none(len(pairs)), pa.array(buckets)]),
+        })
+
+    return run
+
+
+def _compared_blocks(most_odd: int):
+    """Of two blocks of a large bucket, or one with itself: the pairs of texts whose sketches are close enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        slot = np.asarray(table.column("slot"))
+        reps = table.column("rep").combine_chunks()
+        odd = np.asarray(table.column("odd").combine_chunks().flatten()).view(np.uint64).reshape(len(slot), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+        a, b = [], []
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            apart = np.bitwise_count(odd[some][:, None, :] ^ odd[right][None]).sum(-1, dtype=np.int64)
+            x, y = np.nonzero((apart <= most_odd) & ((i != j) | (some[:, None] < right[None])))
+            a.append(some[x])
+            b.append(right[y])
+        at = lambda x: reps.take(pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)))
+        return pa.table({"a": at(a), "b": at(b)})
 
     return run
 
@@ -161,27 +278,42 @@ class NearDuplicates:
         return once.unionByName(merged)
 
     def _links(self) -> DataFrame:
-        how = self.how
+        how, spark = self.how, self.keyed.sparkSession
         hashed = with_form(self.reps, "text", "form").select("rep", F.transform(words(F.col("form")), lambda w: F.xxhash64(w)).alias("words"))
-        self.sketched = sketched = written(hashed.mapInArrow(_sketched(how), "rep bigint, bands array<int>, odd array<bigint>"), "near-sketches")
-        band = sketched.select("rep", F.posexplode("bands").alias("at", "band")).select("rep", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("band")).alias("band"))
-        pairs = (
-            band.withColumnRenamed("rep", "a").join(band.withColumnRenamed("rep", "b"), "band")
-            .where("a < b").select("a", "b").repartition("a").distinct()  # laid out for the next join
-        )
-        odd = sketched.select("rep", "odd")
-        near = pairs.join(odd.toDF("a", "odd_a"), "a").join(odd.toDF("b", "odd_b"), "b")
+        kind = hashed.schema["rep"].dataType.simpleString()
+        # Key space and parts follow the number of texts, so that chance meetings and the work of a task do not grow with it.
+        keys = max(1, self.classes.count() * how.bands)
+        bits, parts = min(62, keys.bit_length() + 8), max(1, keys // MEETING)
+        run, width = _sketched(how, bits, parts)
+        place = new_place(spark, "near-sketches")
+        schema = f"kind int, id bigint, rep {kind}, odd array<bigint>, part int, at bigint, gaps binary, who binary"
+        hashed.mapInArrow(run, schema).write.partitionBy("kind").parquet(place)
+        rows = spark.read.schema(schema).parquet(place)
+        self.sketched = texts = rows.where("kind = 0").select("id", "rep", "odd")
+        met = rows.where("kind = 1").select("part", "at", "gaps", "who").groupBy("part").applyInArrow(_met(how, width), "a bigint, b bigint, bucket bigint")
+        met = written(met, "near-met")
+        discard(spark, f"{place}/kind=1")
+        pairs = met.where("bucket is null").select("a", "b").repartition("a").distinct()  # laid out for the next join
+        near = pairs.join(texts.toDF("a", "rep_a", "odd_a"), "a").join(texts.toDF("b", "rep_b", "odd_b"), "b")
         apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = written(near.where(apart <= how.most_odd).select("a", "b"), "near-candidates")
+        near = near.where(apart <= how.most_odd).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        near = near.unionByName(self._large(met.where("bucket is not null"), texts, kind))
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = written(near, "near-candidates")
         ends = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         # Written, so that only the texts of candidates are brought to one form, and each once.
         texts = written(with_form(self.reps.join(ends, "rep", "left_semi"), "text", "form").select("rep", words(F.col("form")).alias("words")), "near-texts")
-        near = self._compared(near, texts)
-        found = near.where(F.col("similarity") >= how.threshold)
-        # Texts that are both linked to a third are compared too: revisions of one text that no band brought together.
-        ends = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        two = ends.toDF("m", "a").join(ends.toDF("m", "b"), "m").where("a < b").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-        return found.unionByName(self._compared(two, texts).where(F.col("similarity") >= how.threshold))
+        return self._compared(near, texts).where(F.col("similarity") >= how.threshold)
+
+    def _large(self, members: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+        """a, b: pairs of texts in large buckets whose sketches are close. Buckets are cut into blocks, and every two
+        blocks are one task's work, so no task holds a whole bucket and no pair is written before its sketches met."""
+        blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = members.join(blocks, "bucket").join(texts.withColumnRenamed("id", "a"), "a")
+        rows = rows.withColumn("slot", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rep", "odd")
+        return rows.groupBy("bucket", "i", "j").applyInArrow(_compared_blocks(self.how.most_odd), f"a {kind}, b {kind}")
 
     def _compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """a, b, similarity: the exact Jaccard similarity of the shingles of pairs of texts."""
