@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,26 @@ def discard(spark: SparkSession, place: str) -> None:
     """Remove a table, or a part of one, that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_BUILT: dict = {}
+
+
+def version_of(df: DataFrame) -> str:
+    """What tells one state of the files behind a table from another: their paths, sizes and times."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    states = []
+    for file in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        states.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(states).encode()).hexdigest()
+
+
+def built_once(what: str, build: Callable[[], Any], *tables: DataFrame) -> Any:
+    """What ``build`` gives, built once in a session for the present state of the files behind ``tables``; all that it
+    holds must be written to the shared folder."""
+    key = (tables[0].sparkSession.sparkContext.applicationId, what, *map(version_of, tables))
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
