@@ -1,9 +1,9 @@
-"""Held-out passages inside a corpus, by positions stored by document for the words of the items (problem 6)."""
+"""Held-out passages inside a corpus, by a positional inverted index of it (problem 6)."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from lectern.functions.shared import written
 from lectern.llm.forms import with_form
 
-#: Items are sent to the workers in blocks of at most so many words; more items mean more passes over the index.
+#: Items are sent to the workers in blocks of at most so many words, for ``near`` alone; more items mean more passes over
+#: their lists in the index.
 BLOCK_WORDS = 1_000_000
+#: Documents whose places share a list; a place is the number of the document in its block, and the number of the word.
+BLOCK_BITS = 13
+#: Lists of more places than this are spread over the files of the index by block.
+LONG_LIST = 1024
 
 
 def tokens(form: Column) -> Column:
@@ -32,38 +37,18 @@ def tokenised(df: DataFrame, key: str, text: str) -> DataFrame:
 
 @dataclass
 class Block:
-    """Items as the workers hold them: term numbers of all items in a row, and windows of ``run`` words with their
-    rarest terms, sorted by the rarest."""
+    """Items as the workers hold them: term numbers of all items in a row, and the words that are among the rarest of a
+    window of ``run`` words, sorted by term."""
 
     run: int
     items: list
     starts: np.ndarray  # of each item in ``terms``; one more than items
     terms: np.ndarray
     window_item: np.ndarray
-    anchor_terms: np.ndarray  # windows x depth
+    anchor_terms: np.ndarray  # anchors x 1
     anchor_offs: np.ndarray
-    anchor_windows: np.ndarray | None = None  # windows x run, of single anchors: of which of the windows around it each is an anchor
-    anchor_around: np.ndarray | None = None  # windows x (2 * run - 1): the words around it, rarest first
-
-
-def _rarest(block_terms: list[np.ndarray], used: np.ndarray, run: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, terms and offsets of the rarest words of every window of ``run`` words, each set of anchors once per item."""
-    item, terms, offs = [], [], []
-    for i, t in enumerate(block_terms):
-        if len(t) < run:
-            continue
-        views = np.lib.stride_tricks.sliding_window_view(t, run)
-        order = np.argsort(used[views], axis=1, kind="stable")[:, :depth]
-        off = order + np.arange(len(views))[:, None]
-        off = np.unique(off[used[t[off]].min(axis=1) > 0], axis=0)
-        item.append(np.full(len(off), i))
-        terms.append(t[off])
-        offs.append(off)
-    if not item:
-        return np.empty(0, np.int64), np.empty((0, depth), np.int64), np.empty((0, depth), np.int64)
-    item, terms, offs = np.concatenate(item), np.concatenate(terms), np.concatenate(offs)
-    order = np.argsort(terms[:, 0], kind="stable")
-    return item[order], terms[order], offs[order]
+    anchor_windows: np.ndarray  # anchors x run: of which of the windows around it each is an anchor
+    anchor_around: np.ndarray  # anchors x (2 * run - 1): the words around it, rarest first
 
 
 def _anchors(block_terms: list[np.ndarray], used: np.ndarray, run: int, depth: int) -> tuple[np.ndarray, ...]:
@@ -90,22 +75,13 @@ def _anchors(block_terms: list[np.ndarray], used: np.ndarray, run: int, depth: i
 
 
 class Postings:
-    """The postings of some documents: document row, place and term, in the order of rows and places."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        places = batch.column("pos")
-        self.rows = np.repeat(np.arange(len(batch)), np.asarray(places.value_lengths().fill_null(0)).astype(np.int64))
-        self.pos = np.asarray(places.flatten()).astype(np.int64)
-        self.term = np.asarray(batch.column("term").flatten()).astype(np.int64)
-        self.base = 1 << 32
-        self.at = self.rows * self.base + self.pos
-        self.by_term = None
+    """The lists of the wanted terms for some documents, in the order of documents and places."""
 
-    def hold(self, rows: np.ndarray, pos: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """Whether each term stands at its place."""
-        wanted = rows * self.base + pos
-        i = np.minimum(np.searchsorted(self.at, wanted), max(len(self.at) - 1, 0))
-        return (pos >= 0) & (self.at[i] == wanted) & (self.term[i] == term) if len(self.at) else np.zeros(len(wanted), bool)
+    def __init__(self, term: np.ndarray, places: np.ndarray):
+        order = np.argsort(places, kind="stable")
+        self.at, self.term = places[order], term[order]
+        self.rows, self.pos = self.at >> 32, self.at & 0xFFFFFFFF
+        self.by_term = None
 
     def near(self, rows: np.ndarray, pos: np.ndarray, term: np.ndarray, slop: int) -> np.ndarray:
         """Whether each term stands at most ``slop`` places from its place."""
@@ -130,23 +106,6 @@ def _first(p: Postings, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return p.rows[which], window, p.pos[which] - block.anchor_offs[window, 0]
 
 
-def _exact(p: Postings, block: Block) -> list[tuple]:
-    """Row, item, place in the document, place in the item, length of every maximal run."""
-    row, window, shift = _first(p, block)
-    for i in range(1, block.anchor_terms.shape[1]):  # intersect with the next rarest lists, adjusted by their offsets
-        stay = p.hold(row, shift + block.anchor_offs[window, i], block.anchor_terms[window, i])
-        row, window, shift = row[stay], window[stay], shift[stay]
-    found = np.unique(np.stack([row, block.window_item[window], shift], 1), axis=0) if len(row) else np.empty((0, 3), np.int64)
-    out = []
-    for row_, item, shift_ in found.tolist():
-        terms = block.terms[block.starts[item] : block.starts[item + 1]]
-        off = np.arange(len(terms))
-        same = p.hold(np.full(len(off), row_), off + shift_, terms)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-        out += [(row_, item, a + shift_, a, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= block.run]
-    return out
-
-
 def _close(p: Postings, block: Block, slop: int, least: int) -> list[tuple]:
     """Row, item and the most words of a window, at least ``least``, that stand within ``slop`` of where one of its
     anchors puts them."""
@@ -173,28 +132,73 @@ def _close(p: Postings, block: Block, slop: int, least: int) -> list[tuple]:
 
 
 class PositionalIndex:
-    """Postings of the corpus for the terms of a set of test items, stored in the shared folder.
+    """A positional inverted index of a corpus: for every term the places where it stands.
 
-    The index is partitioned by document: a row holds a document's postings, its places and terms, so nothing is
-    shuffled to build it, lists are intersected where they lie, and neither copies nor long documents make a hot group. It
-    keeps every posting of every term the items use; other terms cannot
-    take part in a match. Items are held by the workers in blocks of at most ``BLOCK_WORDS`` words.
+    ``tokens``: doc, key, words of every document. ``postings``: term, at, n, places: the places of a term in a block of
+    documents, each the number of the document in its block and the number of the word, in ascending order. All words
+    of all documents are in it, so it serves any set of items and is built once. Workers turn whole batches of documents
+    into lists, so that what is shuffled is lists and not words; lists come together by term, the long ones of frequent
+    terms are spread by block.
 
     Nulls: rows with a null key or text are left out. Empty texts match nothing. Repeated rows give each match once.
     Empty tables give empty results, other columns are ignored.
     """
 
-    def __init__(self, corpus: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text"):
-        self.key, self.item, self.spark = key, item, corpus.sparkSession
-        self.kinds = corpus.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-        self.items = written(tokenised(items, item, text).distinct(), "leak-items")
-        self.words = tokenised(corpus, key, text)
+    def __init__(self, corpus: DataFrame, key: str = "doc_id", text: str = "text"):
+        self.key, self.spark = key, corpus.sparkSession
+        # Numbered once: the table is read back, so a lost executor cannot number documents anew.
+        self.tokens = written(tokenised(corpus, key, text).withColumn("doc", F.monotonically_increasing_id()), "leak-tokens")
+        lists = self.tokens.select("doc", "words").mapInArrow(_inverted, "term string, at bigint, n int, places array<bigint>")
+        spread = F.when(F.col("n") > LONG_LIST, F.col("at")).otherwise(-1)
+        self.postings = written(lists.repartition(F.col("term"), spread).sortWithinPartitions("term"), "leak-postings")
+
+    def _items(self, items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame]:
+        """item, words; and term, used: how often each term of the items stands in the corpus."""
+        held = written(tokenised(items, item, text).distinct().withColumnRenamed("key", "item"), "leak-items")
+        terms = held.select(F.explode("words").alias("term")).distinct()
+        used = self.postings.select("term", "n").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("used"))
+        return held, written(used, "leak-used")
+
+    def phrases(self, items: DataFrame, item: str = "item_id", text: str = "text", run: int = 10) -> DataFrame:
+        """key, item, doc_pos, item_pos, length: every maximal run of at least ``run`` consecutive words in both.
 
-    def _blocks(self) -> Iterator[list]:
+        Each window of ``run`` words of an item is looked up by its three rarest terms: the list of the rarest one, less
+        its offset in the item, intersected with those of the next two, block by block. A run of that length holds all
+        terms of its windows, so none is missed; the few places left are held against the words of item and document.
+        """
+        held, used = self._items(items, item, text)
+        depth = min(3, run)
+        words = held.select("item", F.posexplode("words").alias("off", "term")).join(used, "term", "left")
+        words = words.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("off", F.coalesce("used", F.lit(0)).alias("used"), "term"))).alias("w"))  # the words of one item
+        rare = lambda s: F.slice(F.array_sort(F.transform(F.slice("w", s + 1, run), lambda x: F.struct(x["used"], x["off"], x["term"]))), 1, depth)
+        windows = words.where(F.size("w") >= run).select("item", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - run), rare))).alias("a"))
+        anchors = written(windows.where(F.col("a")[0]["used"] > 0).select("item", "a"), "leak-anchors")
+        wanted = anchors.select(F.explode("a.term").alias("term")).distinct()
+        lists = written(self.postings.select("term", "at", "places").join(wanted, "term", "left_semi"), "leak-lists")
+        less = lambda c, k: F.transform(c, lambda x: x - F.col("a")[k]["off"])
+        met = anchors.withColumn("term", F.col("a")[0]["term"]).join(lists, "term").select("item", "a", "at", less("places", 0).alias("shifts"))
+        for k in range(1, depth):
+            met = met.withColumn("term", F.col("a")[k]["term"]).join(lists, ["term", "at"])
+            met = met.select("item", "a", "at", F.array_intersect("shifts", less("places", k)).alias("shifts")).where(F.size("shifts") > 0)
+        first = F.col("shift") + F.col("a")[0]["off"]
+        places = met.select("item", "a", "at", F.explode("shifts").alias("shift"))
+        places = places.select("item", (F.shiftleft("at", BLOCK_BITS) + F.shiftright(first, 32)).alias("doc"), (first.bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("a")[0]["off"]).cast("int").alias("shift"))
+        places = written(places.distinct(), "leak-places")
+        both = places.join(self.tokens, "doc").join(held.withColumnRenamed("words", "said"), "item")
+        same = F.transform("said", lambda w, i: F.coalesce((i + F.col("shift") >= 0) & (F.get("words", F.greatest(i + F.col("shift"), F.lit(0))) == w), F.lit(False)))
+        both = both.select("key", "item", "shift", same.alias("same"))
+        starts = F.filter(F.sequence(F.lit(0), F.size("same") - 1), lambda i: F.get("same", i) & ~F.coalesce(F.get("same", i - 1), F.lit(False)))
+        end = lambda i: F.array_position(F.slice("same", i + 1, F.size("same")), False)
+        runs = F.transform(starts, lambda i: F.struct(i.alias("item_pos"), F.when(end(i) > 0, end(i) - 1).otherwise(F.size("same") - i).cast("int").alias("length")))
+        found = both.select("key", "item", "shift", F.explode(runs).alias("r")).where(F.col("r.length") >= run)
+        found = found.select(F.col("key").alias(self.key), F.col("item").alias(item), (F.col("shift") + F.col("r.item_pos")).alias("doc_pos"), "r.item_pos", "r.length")
+        return found.distinct()
+
+    def _blocks(self, held: DataFrame) -> Iterator[list]:
         """Items with their words, in blocks; the driver holds one block at a time."""
         block, size = [], 0
-        for r in self.items.toLocalIterator():
-            block.append((r["key"], r["words"]))
+        for r in held.toLocalIterator():
+            block.append((r["item"], r["words"]))
             size += len(r["words"])
             if size >= BLOCK_WORDS:
                 yield block
@@ -202,77 +206,65 @@ class PositionalIndex:
         if block:
             yield block
 
-    def _searched(self, run: int, depth: int, anchors: Callable, search: Callable, columns: list[str]) -> DataFrame:
-        parts = []
-        schema = f"key {self.kinds[0]}, item {self.kinds[1]}, " + ", ".join(f"{c} int" for c in columns)
-        for held in self._blocks():
-            vocabulary = sorted({w for _, ws in held for w in ws})
-            number = {w: i for i, w in enumerate(vocabulary)}
-            postings = written(self.words.mapInArrow(_stored(self.spark.sparkContext.broadcast(vocabulary)), f"key {self.kinds[0]}, pos array<int>, term array<int>"), "leak-postings")
-            used = np.zeros(len(vocabulary), np.int64)
-            for r in postings.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # as many as the block's terms
-                used[r["t"]] = r["n"]
-            terms = [np.array([number[w] for w in ws], np.int64) for _, ws in held]
-            looked_up = anchors(terms, used, run, depth)
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
-            block = (run, [k for k, _ in held], starts, np.concatenate([*terms, np.empty(0, np.int64)]), *looked_up)
-            parts.append(postings.mapInArrow(_searching(self.spark.sparkContext.broadcast(block), search, columns), schema))
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.withColumnsRenamed({"key": self.key, "item": self.item})
-
-    def phrases(self, run: int = 10) -> DataFrame:
-        """key, item, doc_pos, item_pos, length: every maximal run of at least ``run`` consecutive words in both.
-
-        Each window of ``run`` words of an item is looked up by its three rarest terms: the places of the rarest one,
-        kept only where the next two stand at their offsets. A run of that length holds all terms of its windows, so
-        none is missed; at the places left, all other terms are intersected.
-        """
-        return self._searched(run, min(3, run), _rarest, _exact, ["doc_pos", "item_pos", "length"]).distinct()
-
-    def near(self, run: int = 10, slop: int = 3, share: float = 0.8) -> DataFrame:
+    def near(self, items: DataFrame, item: str = "item_id", text: str = "text", run: int = 10, slop: int = 3, share: float = 0.8) -> DataFrame:
         """key, item, words: documents that hold at least ``share`` of some ``run`` words of an item, each at most
         ``slop`` places from where one of its rarest words puts it: passages with words changed, dropped or put in.
 
         If so many words may be missing, one of that many and one more rarest words is there, whichever was changed; all
-        of them are looked up, so names and numbers that no document has need not be among the words found.
+        of them are looked up, so names and numbers that no document has need not be among the words found. Only the
+        lists of the items' words are read from the index; they are intersected by block of documents.
         """
+        held, used = self._items(items, item, text)
         least = max(1, math.ceil(share * run - 1e-9))
-        found = self._searched(run, min(run, max(1, run - least + 1)), _anchors, lambda p, b: _close(p, b, slop, least), ["words"])
-        return found.groupBy(self.key, self.item).agg(F.max("words").alias("words"))
-
-
-def _stored(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(vocabulary.value, pa.string())
-        for batch in batches:
-            lists = batch.column("words")
-            sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            found = pc.index_in(lists.flatten(), known)
-            valid = np.asarray(found.is_valid())
-            ends = np.cumsum(sizes)
-            pos = (np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes))[valid].astype(np.int32)
-            kept = np.concatenate([[0], np.cumsum(valid)])
-            offsets = pa.array(np.concatenate([[0], kept[ends]]).astype(np.int32))
-            term = found.drop_null().cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(pos)), pa.ListArray.from_arrays(offsets, term)], ["key", "pos", "term"])
-
-    return run
-
-
-def _searching(sent, search: Callable, columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(*sent.value)
-        for batch in batches:
-            for at in range(0, len(batch), 2000):  # matches of few documents at a time
-                part = batch.slice(at, 2000)
-                found = search(Postings(part), block)
-                if found:
-                    rows, items, *rest = zip(*found)
-                    keys = part.column("key").take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([block.items[i] for i in items]), *(pa.array(c, pa.int32()) for c in rest)], ["key", "item", *columns])
+        depth = min(run, max(1, run - least + 1))
+        kind = held.schema["item"].dataType.simpleString()
+        found = self.spark.createDataFrame([], f"doc bigint, item {kind}, words int")
+        for block in self._blocks(held):
+            vocabulary = sorted({w for _, ws in block for w in ws})
+            number = {w: i for i, w in enumerate(vocabulary)}
+            terms = self.spark.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.string()), "number": pa.array(range(len(vocabulary)), pa.int32())}))
+            often = np.zeros(len(vocabulary), np.int64)
+            for r in used.join(terms, "term").select("number", "used").collect():  # as many as the block's terms
+                often[r["number"]] = r["used"]
+            numbers = [np.array([number[w] for w in ws], np.int64) for _, ws in block]
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in numbers])]).astype(np.int64)
+            held_block = (run, [k for k, _ in block], starts, np.concatenate([*numbers, np.empty(0, np.int64)]), *_anchors(numbers, often, run, depth))
+            sent = self.spark.sparkContext.broadcast(held_block)
+            lists = self.postings.select("term", "at", "places").join(terms, "term").select("number", "at", "places")
+            found = found.unionByName(lists.groupBy("at").applyInArrow(_searching(sent, slop, least), f"doc bigint, item {kind}, words int"))
+        keyed = found.join(self.tokens.select("doc", "key"), "doc")
+        return keyed.groupBy(F.col("key").alias(self.key), F.col("item").alias(item)).agg(F.max("words").alias("words"))
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a batch of documents: term, at, n, places."""
+    for batch in batches:
+        lists = batch.column("words")
+        sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        doc = np.asarray(batch.column("doc")).astype(np.int64)
+        at = np.repeat(doc >> BLOCK_BITS, sizes)
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        places = (np.repeat(doc & ((1 << BLOCK_BITS) - 1), sizes) << 32) | pos
+        for block in np.unique(at):
+            some = at == block
+            code, held = np.asarray(coded.indices)[some].astype(np.int64), places[some]
+            order = np.argsort(code, kind="stable")  # places stay in order within a term
+            code, held = code[order], held[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            n = np.diff(np.append(first, len(code))).astype(np.int32)
+            parted = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(held))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(n), block)), pa.array(n), parted], ["term", "at", "n", "places"])
+
+
+def _searching(sent, slop: int, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        block, at = Block(*sent.value), table.column("at")[0].as_py()
+        lists = table.column("places").combine_chunks()
+        term = np.repeat(np.asarray(table.column("number")), np.asarray(pc.list_value_length(lists))).astype(np.int64)
+        found = _close(Postings(term, np.asarray(lists.flatten())), block, slop, least)
+        rows, items, words = zip(*found) if found else ((), (), ())
+        kind = pa.array(block.items).type
+        return pa.table({"doc": pa.array([(at << BLOCK_BITS) + r for r in rows], pa.int64()), "item": pa.array([block.items[i] for i in items], kind), "words": pa.array(words, pa.int32())})
 
     return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.shared import built_once
 from lectern.llm.distinctive import concentrated, log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
@@ -86,15 +87,16 @@ def p5_changes(spark, d):
 
 
 def _leaks(spark, d):
-    return PositionalIndex(_table(spark, d, "documents"), _table(spark, d, "eval_item"))
+    documents = _table(spark, d, "documents")
+    return built_once("leak-index", lambda: PositionalIndex(documents), documents)
 
 
 def p6_found(spark, d):
-    return _leaks(spark, d).phrases().select("doc_id", "item_id").distinct()
+    return _leaks(spark, d).phrases(_table(spark, d, "eval_item")).select("doc_id", "item_id").distinct()
 
 
 def p6_near(spark, d):
-    return _leaks(spark, d).near()
+    return _leaks(spark, d).near(_table(spark, d, "eval_item"))
 
 
 def p7_mix(spark, d):

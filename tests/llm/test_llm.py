@@ -306,13 +306,17 @@ def test_leaks(spark):
             body[7:7] = [x.upper() for x in w[a : a + rng.randrange(8, 25)]]
         docs.append((i, ", ".join(body)))
     docs += [(99, None), (98, ""), (97, docs[0][1]), (97, docs[0][1])]
-    index = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("term", F.lit(1)), spark.createDataFrame(items, "item_id bigint, text string"))
-    got = {(r.doc_id, r.item_id) for r in index.phrases().collect()}
+    index = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("term", F.lit(1)))
+    asked = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in index.phrases(asked).collect()}
     runs = lambda w: {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
     tokens = lambda t: re.findall(r"[^\W_]+", t.lower())
     true = {(d, i) for d, t in docs if t for i, x in items if runs(tokens(t)) & runs(tokens(x))}
     assert got == true and true
-    assert {(d, i) for d, i in true} <= {(r.doc_id, r.item_id) for r in index.near().collect()}
+    assert {(d, i) for d, i in true} <= {(r.doc_id, r.item_id) for r in index.near(asked).collect()}
+    # The same index serves other items, and says where every maximal run lies.
+    other = spark.createDataFrame([("x", "w1 " + " ".join(docs[1][1].upper().split(", ")[5:20]))], "item_id string, text string")
+    assert (1, "x", 5, 1, 15) in {tuple(r) for r in index.phrases(other).collect()}
 
 
 def test_near_holds_every_exact_passage(spark):
@@ -323,8 +327,8 @@ def test_near_holds_every_exact_passage(spark):
     items = [(i, " ".join(rng.choices(vocabulary, often, k=60))) for i in range(20)]
     docs = [(1000 * i + a, " ".join(["before", "it", *x.split()[a : a + 10], "after", "it"])) for i, x in items for a in range(51)]
     docs += [(100_000 + i, " ".join(rng.choices(vocabulary, often, k=80))) for i in range(100)]
-    index = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
-    got = {(r.doc_id, r.item_id): r.words for r in index.near().collect()}
+    index, asked = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string")), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.words for r in index.near(asked).collect()}
     assert [d for d, _ in docs if d < 100_000 and got.get((d, d // 1000)) != 10] == []
 
 
@@ -337,8 +341,8 @@ def test_near_without_the_rarest_words(spark):
     docs = [(k, " ".join(["x1", "x2", *("changed" if j in c else w for j, w in enumerate(item[a : a + 10])), "x3"])) for k, (a, c) in enumerate(changes)]
     items = [(1, " ".join(item)), (2, "unknown " + " ".join(item[:9])), (3, "un known words " + " ".join(item[:7]))]
     docs.append((5000, " ".join(item[:9])))
-    index = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
-    got = {(r.doc_id, r.item_id): r.words for r in index.near().collect()}
+    index, asked = PositionalIndex(spark.createDataFrame(docs, "doc_id bigint, text string")), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.words for r in index.near(asked).collect()}
     assert {k: got.get((k, 1)) for k in range(len(changes))} == {k: 10 - len(c) if len(c) < 3 else None for k, (_, c) in enumerate(changes)}
     assert got[5000, 2] == 9 and (5000, 3) not in got
 
@@ -397,6 +401,6 @@ def test_empty_tables(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert same_form_pairs(none, "chunk_id", "text").isEmpty() and NearDuplicates(none).pairs().isEmpty() and NearDuplicates(none).groups().isEmpty()
     assert log_entropy(none).isEmpty() and split_oversized(none).isEmpty() and TermCounts(spark).apply(added=none).counts().isEmpty()
-    assert PositionalIndex(docs, items).phrases().isEmpty() and score_pages(docs).isEmpty()
+    assert PositionalIndex(docs).phrases(items).isEmpty() and score_pages(docs).isEmpty()
     empty = mix(docs, targets, count=lambda c: F.length(c).cast("bigint"))
     assert empty.chosen.isEmpty() and empty.shares.first().tokens == 0
