@@ -35,10 +35,10 @@ class Sketching:
     threshold: float = 0.8
     bands: int = 0
     rows: int = 0
-    samples: int = 384
-    bits: int = 1024
+    samples: int = 288
+    bits: int = 768
     errors: float = 3.3
-    missed: float = 0.01
+    missed: float = 0.015
     large: int = 32
 
     def __post_init__(self):
@@ -290,11 +290,12 @@ class NearDuplicates:
         hashed.mapInArrow(run, schema).write.partitionBy("kind").parquet(place)
         rows = spark.read.schema(schema).parquet(place)
         self.sketched = texts = rows.where("kind = 0").select("id", "rep", "odd")
-        met = rows.where("kind = 1").select("part", "at", "gaps", "who").groupBy("part").applyInArrow(_met(how, width), "a bigint, b bigint, bucket bigint")
+        tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        met = rows.where("kind = 1").select("part", "at", "gaps", "who").repartition(tasks, "part").groupBy("part").applyInArrow(_met(how, width), "a bigint, b bigint, bucket bigint")
         met = written(met, "near-met")
         discard(spark, f"{place}/kind=1")
-        pairs = met.where("bucket is null").select("a", "b").repartition("a").distinct()  # laid out for the next join
-        near = pairs.join(texts.toDF("a", "rep_a", "odd_a"), "a").join(texts.toDF("b", "rep_b", "odd_b"), "b")
+        pairs = met.where("bucket is null").select("a", "b").repartition(tasks, "a").distinct()  # laid out for the next join
+        near = pairs.join(texts.toDF("a", "rep_a", "odd_a"), "a").repartition(tasks, "b").join(texts.toDF("b", "rep_b", "odd_b"), "b")
         apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = near.where(apart <= how.most_odd).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         near = near.unionByName(self._large(met.where("bucket is not null"), texts, kind))
