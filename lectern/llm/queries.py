@@ -58,7 +58,8 @@ def p3_terms(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("document").orderBy(F.desc("weight"), "term")
-    return log_entropy(_table(spark, d, "chunk")).withColumn("place", F.row_number().over(w)).where("place <= 10")
+    weighed = log_entropy(_table(spark, d, "chunk")).withColumn("weight", F.round("weight", 6))
+    return weighed.withColumn("place", F.row_number().over(w)).where("place <= 10")
 
 
 def p4_found(spark, d):
