@@ -302,8 +302,9 @@ class NearDuplicates:
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = written(near, "near-candidates")
         ends = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        # Written, so that only the texts of candidates are brought to one form, and each once.
-        texts = written(with_form(self.reps.join(ends, "rep", "left_semi"), "text", "form").select("rep", words(F.col("form")).alias("words")), "near-texts")
+        # Written, so that only the texts of candidates are brought to one form and parted, and each once.
+        texts = with_form(self.reps.join(ends, "rep", "left_semi"), "text", "form").select("rep", words(F.col("form")).alias("words"))
+        texts = written(texts.select("rep", shingles("words", how.shingle).alias("shingles")), "near-texts")
         return self._compared(near, texts).where(F.col("similarity") >= how.threshold)
 
     def _large(self, members: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
@@ -318,8 +319,7 @@ class NearDuplicates:
 
     def _compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """a, b, similarity: the exact Jaccard similarity of the shingles of pairs of texts."""
-        both = pairs.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
-        both = both.select("a", "b", shingles("words_a", self.how.shingle).alias("x"), shingles("words_b", self.how.shingle).alias("y"))
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
         # Written before any threshold, which would else be pushed down and repeat the expressions under it.
         return written(shared.select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")), "near-links")
