@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.shared import written
+from lectern.functions.shared import built_once, written
 from lectern.functions.text import meaningful_words, normalise, or_empty, page_words, words
 from lectern.operators import chunking, evaluate, naming, questions, retrieve, vectors
-from lectern.operators.corpus import clean_name
+from lectern.operators.corpus import clean_name, listing, unread_said
 from lectern.plans.sql import SQL  # noqa: F401
 
 
@@ -36,9 +36,9 @@ def asked(spark, d) -> DataFrame:
 
 
 def index(spark, d) -> retrieve.Index:
-    """The index of all chunks, with chunks and postings written, as several searches read them."""
-    built = retrieve.build_index(written(chunks(spark, d), "chunks"), manuals(spark, d))
-    return retrieve.Index(written(built.chunks, "index-chunks"), written(built.postings, "postings"), written(built.vocab, "vocab"), written(built.names, "names"))
+    """The index of all chunks, built once for a state of the tables and read by all searches."""
+    tables = table(spark, d, "chunk"), table(spark, d, "manual")
+    return built_once("index", lambda: retrieve.build_index(written(chunks(spark, d), "chunks"), manuals(spark, d)), *tables)
 
 
 def normalise_text(spark, d):
@@ -69,19 +69,12 @@ def windows(spark, d):
     return chunking.cut_up(docs)
 
 
-def _vocab(spark, d):
-    c = chunks(spark, d)
-    counts = vectors.term_counts(c, "doc", "chunk_ord")
-    return counts, vectors.learn(counts, c.agg(F.count(F.lit(1)).alias("n")))
-
-
 def idf(spark, d):
-    return _vocab(spark, d)[1].select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, d).vocab.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_vectors(spark, d):
-    counts, vocab = _vocab(spark, d)
-    return vectors.vectors(counts, vocab, "doc", "chunk_ord").select(F.col("chunk_ord").alias("chunk_id"), "term", F.round("weight", 6).alias("weight"))
+    return index(spark, d).postings.select(F.col("chunk_ord").alias("chunk_id"), "term", F.round("weight", 6).alias("weight"))
 
 
 def _shown(hits):
@@ -157,18 +150,36 @@ def eval_misses(spark, d):
     return evaluate.misses(_outcomes(spark, d)).select("qid", "kind", "plain", "aware_at_all")
 
 
+def eval_disagreements(spark, d):
+    return evaluate.disagreements(_outcomes(spark, d)).select("qid", "kind", "plain", "aware")
+
+
+def eval_regressions(spark, d):
+    return evaluate.regressions(_outcomes(spark, d)).select("qid", "plain", "aware")
+
+
+def answers(spark, d):
+    """What the aware search answers, with the reason for each passage."""
+    ix = index(spark, d)
+    return retrieve.as_answers(retrieve.aware(asked(spark, d), ix, retrieve.MOST_ASKED)[0], ix)
+
+
+def ways_of_writing(spark, d):
+    title = F.coalesce("title", F.lit(""))
+    code = F.regexp_extract(title, naming.PART_NUMBER, 0)
+    ways = questions.ways_of_writing(F.col("n"), questions.variants_of(F.col("code")))
+    return manuals(spark, d).select("doc", normalise(title).alias("n"), code.alias("code")).select(F.col("doc").alias("document"), F.array_join(ways, " | ").alias("ways"))
+
+
 def clean_names(spark, d):
     raw = F.concat(or_empty(F.col("source")), F.lit(" ("), or_empty(F.col("product")), F.lit(").v2.pdf"))
     return table(spark, d, "documents").select("doc_id", clean_name(raw).alias("name"))
 
 
 def corpus_listing(spark, d):
-    m = manuals(spark, d)
-    pieces = chunks(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("pieces"))
-    names = naming.document_names(m, "doc").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("name_ord", "name"))).alias("n"))
-    names = names.select("doc", F.array_join(F.transform("n", lambda x: x["name"]), " | ").alias("names"))
-    listed = m.join(pieces, "doc", "left").join(names, "doc", "left").na.fill(0, ["pieces"])
-    return listed.select(F.col("doc").alias("name"), F.length("text").alias("characters"), "pieces", "names")
+    docs = manuals(spark, d).select(F.col("doc").alias("name"), "text", F.lit(True).alias("given"), F.array().cast("array<struct<page: int, why: string>>").alias("unread"))
+    listed = listing(docs, index(spark, d), "name")
+    return listed.select("name", "characters", "pieces", F.nullif(F.array_join("names", " | "), F.lit("")).alias("names"))
 
 
 def unread_summary(spark, d):
@@ -192,6 +203,7 @@ def pdf_round_trip(spark, d):
 QUERIES = {f.__name__: f for f in (
     normalise_text, token_counts, meaningful_terms, titles, sections, windows, idf, tfidf_vectors, similarity_topk, dense_topk, question_kind,
     carry_subject, code_variants, document_names, route_questions, letter_search, aware_search, verdicts, compare_searches, eval_by_kind, eval_misses,
+    eval_disagreements, eval_regressions, answers, ways_of_writing,
     corpus_listing, unread_summary, pdf_round_trip,
 )} | {"clean_name": clean_names}
 

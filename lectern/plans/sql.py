@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import unicodedata
 
-from lectern.functions.text import EMPTY_WORDS, TIDIED
-from lectern.operators.questions import POINTING
+# Fixed values, stated here once more so that a wrong entry in the engine shows: characters tidied away, words without
+# meaning of their own, and words that point backwards.
+TIDIED = {
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-",
+    "\u00a0": " ", "\u202f": " ", "\u200b": "", "\ufeff": "",
+}
+EMPTY_WORDS = (
+    "a an and are as at be by for from has have how i in is it me of on or that the this to was what when where which you your"
+    " al alla alle che come con da dei del della delle di e gli i il in la le lo mi nel per più piu quale quali si su sul un una uno"
+).split()
+POINTING = (
+    "it|its|that|those|these|this|the same|the other|the previous|the above|as said|as mentioned",
+    "quest[oaie]|quell[oaie]|quel|stess[oaie]|precedent[ei]|suddetto|come detto|di cui sopra",
+)
 
 
 def q(s: str) -> str:
@@ -66,7 +78,7 @@ SHAPES = (
     r"\b[A-Z][A-Z0-9_]{3,}\b",
 )
 
-CHUNKS = "chunks AS (SELECT DISTINCT coalesce(document, '') AS doc, chunk_id AS chunk_ord, heading, text FROM chunk WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"
+CHUNKS = "chunks AS (SELECT DISTINCT coalesce(document, '') AS doc, chunk_id AS chunk_ord, id, document, heading, text FROM chunk WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"
 MANUALS = "manuals AS (SELECT name AS doc, min(text) AS text FROM manual WHERE name IS NOT NULL AND text IS NOT NULL GROUP BY name)"
 REQUESTS = "requests AS (SELECT DISTINCT request_id AS qid, coalesce(question, '') AS question, history FROM request WHERE request_id IS NOT NULL)"
 COUNTS = f"counts AS (SELECT doc, chunk_ord, term, count(*) AS tf FROM (SELECT doc, chunk_ord, unnest({terms('n')}) AS term FROM (SELECT doc, chunk_ord, {norm('text')} AS n FROM chunks)) GROUP BY ALL)"
@@ -133,22 +145,38 @@ AWARE = f"""{routed('route_q', 'carried', 'question')}, {routed('route_a', "(SEL
 sent AS (SELECT qid, coalesce(a.document, b.document) AS document FROM carried LEFT JOIN route_q a USING (qid) LEFT JOIN route_a b USING (qid)),
 titled AS (SELECT chunks.*, {norm("coalesce(heading, '') || ' ' || text")} AS normalised, {norm('heading')} AS h, title FROM chunks LEFT JOIN (SELECT doc, nullif(trim({TITLE}, ' ' || chr(9) || chr(13)), '') AS title FROM manuals) USING (doc)),
 wanted AS (SELECT qid, i, {norm('raw')} AS term FROM (SELECT qid, unnest(range(1, len(terms) + 1)) AS i, unnest(terms) AS raw FROM carried)),
-hits AS (SELECT qid, doc, chunk_ord, n + CASE WHEN contains(h, first) THEN 1 ELSE 0 END AS score FROM (
-  SELECT qid, doc, chunk_ord, any_value(h) AS h, count(*) AS n, arg_min(term, i) AS first FROM wanted JOIN titled ON contains(normalised, term) JOIN sent USING (qid)
-  WHERE term <> '' AND (document IS NULL OR document = doc) GROUP BY qid, doc, chunk_ord)),
+hits AS (SELECT qid, doc, chunk_ord, n + CASE WHEN contains(h, first) THEN 1 ELSE 0 END AS score, CASE WHEN contains(h, first) THEN 'headed "' || heading || '"' ELSE 'contains "' || first || '"' END AS why FROM (
+  SELECT qid, doc, chunk_ord, any_value(h) AS h, any_value(heading) AS heading, count(*) AS n, arg_min(term, i) AS first FROM wanted JOIN titled ON contains(normalised, term) JOIN sent USING (qid)
+  WHERE term <> '' AND (sent.document IS NULL OR sent.document = doc) GROUP BY qid, doc, chunk_ord)),
 letter AS ({best('hits', 4)}),
 rest AS (SELECT * FROM carried WHERE qid NOT IN (SELECT qid FROM letter)),
 {vectors_of('av', 'rest', 'asked')},
 said AS (SELECT DISTINCT qid, unnest({terms(norm('asked'))}) AS term FROM rest),
 heads_of AS (SELECT doc, chunk_ord, list_filter({terms('h')}, lambda w: NOT list_contains({terms(norm('title'))}, w)) AS l FROM titled WHERE heading IS NOT NULL AND heading IS DISTINCT FROM title),
 bonus AS (SELECT qid, doc, chunk_ord, 0.35 * count(*) / any_value(k) AS bonus FROM (SELECT doc, chunk_ord, len(l) AS k, unnest(l) AS term FROM heads_of) JOIN said USING (term) GROUP BY qid, doc, chunk_ord),
-near AS ({best('''(SELECT qid, doc, chunk_ord, sum(s) AS score FROM (SELECT qid, doc, chunk_ord, a.weight * b.weight AS s FROM av a JOIN postings b USING (term) UNION ALL SELECT qid, doc, chunk_ord, bonus FROM bonus)
+near AS ({best('''(SELECT qid, doc, chunk_ord, sum(s) AS score, sum(more) AS more FROM (SELECT qid, doc, chunk_ord, a.weight * b.weight AS s, 0 AS more FROM av a JOIN postings b USING (term) UNION ALL SELECT qid, doc, chunk_ord, bonus, bonus FROM bonus)
   JOIN sent USING (qid) WHERE document IS NULL OR document = doc GROUP BY qid, doc, chunk_ord HAVING sum(s) > 0)''', 4)}),
-aware AS (SELECT qid, doc, chunk_ord, score, rank FROM letter UNION ALL SELECT qid, doc, chunk_ord, score, rank FROM near)"""
+aware AS (SELECT qid, doc, chunk_ord, score, rank, why FROM letter UNION ALL
+  SELECT qid, doc, chunk_ord, score, rank, 'nearest by meaning' || CASE WHEN more > 0 THEN ', and headed "' || heading || '"' ELSE '' END FROM near JOIN chunks USING (doc, chunk_ord)),
+said_on AS (SELECT qid, string_agg('"' || name || '"', ', ' ORDER BY name_ord) AS names FROM (
+    SELECT h.qid, doc, name FROM route_q_h h JOIN route_q USING (qid) WHERE doc = document UNION
+    SELECT h.qid, doc, name FROM route_a_h h JOIN route_a USING (qid) WHERE doc = document AND qid NOT IN (SELECT qid FROM route_q WHERE document IS NOT NULL)) JOIN names USING (doc, name) GROUP BY qid),
+branched AS (SELECT qid, asked, terms, stands_alone, s.document, (SELECT any_value(c.document) FROM chunks c WHERE c.doc = s.document) AS called, names,
+    CASE WHEN qid IN (SELECT qid FROM letter) THEN 'letter' WHEN t1 IS NOT NULL THEN 'nothing contains' ELSE 'meaning' END AS branch
+  FROM carried JOIN sent s USING (qid) LEFT JOIN said_on USING (qid)),
+quoted AS (SELECT *, list_transform(terms, lambda t: '"' || t || '"') AS q FROM branched)"""
 ALL = f"WITH {INDEX}, {MANUALS}, @requests@, {KINDS}, {CARRIED}, {NAMES}, {PLAIN}, {AWARE} "
 OVER_REQUESTS = ALL.replace("@requests@", "all_requests AS (SELECT DISTINCT request_id AS qid, coalesce(question, '') AS question, history FROM request WHERE request_id IS NOT NULL), asked AS (SELECT * FROM all_requests WHERE qid % 50 = 0 AND trim(question) <> ''), requests AS (SELECT * FROM asked)")
 OVER_GOLD = ALL.replace("@requests@", "golden AS (SELECT DISTINCT qid, kind, ask, history, document, heading FROM gold), asked AS (SELECT qid, ask AS question, history FROM golden), requests AS (SELECT * FROM asked)")
 
+JUDGED = """judged AS (SELECT g.qid, g.kind, coalesce(bool_or(p.rank = 1 AND p.doc IS NOT DISTINCT FROM g.document AND pc.heading IS NOT DISTINCT FROM g.heading), false) AS plain,
+    coalesce(bool_or(a.rank = 1 AND a.doc IS NOT DISTINCT FROM g.document AND ac.heading IS NOT DISTINCT FROM g.heading), false) AS aware,
+    coalesce(bool_or(a.doc IS NOT DISTINCT FROM g.document AND ac.heading IS NOT DISTINCT FROM g.heading), false) AS aware_at_all
+  FROM golden g LEFT JOIN plain p USING (qid) LEFT JOIN chunks pc ON pc.doc = p.doc AND pc.chunk_ord = p.chunk_ord
+  LEFT JOIN aware a USING (qid) LEFT JOIN chunks ac ON ac.doc = a.doc AND ac.chunk_ord = a.chunk_ord GROUP BY g.qid, g.kind)"""
+OVER_FIVE = OVER_GOLD.replace("WHERE rank <= 4", "WHERE rank <= 5")
+SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+GAP = r"\s\x{a0}\x{feff}\x{2000}-\x{200a}\x{202f}\x{3000}"
 SECTIONS = r"""lines AS (SELECT doc_id, i, l[i] AS line, trim(l[i], chr(32) || chr(9) || chr(160) || '　') AS bare, coalesce(trim(l[i + 1], chr(32) || chr(9) || chr(160) || '　'), '') AS after FROM (
   SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM docs))),
 marked AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM (
@@ -174,10 +202,32 @@ SELECT qid, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number()
     "aware_search": OVER_REQUESTS + "SELECT qid, chunk_ord AS chunk_id, rank, round(score, 6)::DOUBLE AS score FROM aware",
     "compare_searches": OVER_REQUESTS + """SELECT qid, p.chunk_ord AS plain_id, a.chunk_ord AS aware_id, (p.doc IS NOT DISTINCT FROM a.doc AND p.chunk_ord IS NOT DISTINCT FROM a.chunk_ord) AS same
 FROM asked LEFT JOIN (SELECT * FROM plain WHERE rank = 1) p USING (qid) LEFT JOIN (SELECT * FROM aware WHERE rank = 1) a USING (qid)""",
-    "eval_by_kind": OVER_GOLD + """, judged AS (SELECT g.qid, g.kind, coalesce(bool_or(p.doc IS NOT DISTINCT FROM g.document AND pc.heading IS NOT DISTINCT FROM g.heading), false) AS plain, coalesce(bool_or(a.doc IS NOT DISTINCT FROM g.document AND ac.heading IS NOT DISTINCT FROM g.heading), false) AS aware
-  FROM golden g LEFT JOIN (SELECT * FROM plain WHERE rank = 1) p USING (qid) LEFT JOIN chunks pc ON pc.doc = p.doc AND pc.chunk_ord = p.chunk_ord
-  LEFT JOIN (SELECT * FROM aware WHERE rank = 1) a USING (qid) LEFT JOIN chunks ac ON ac.doc = a.doc AND ac.chunk_ord = a.chunk_ord GROUP BY g.qid, g.kind)
-SELECT kind, sum(plain::INT)::BIGINT AS plain, sum(aware::INT)::BIGINT AS aware, count(*) AS "of" FROM judged GROUP BY ROLLUP (kind)""",
+    "eval_by_kind": OVER_FIVE + f""", {JUDGED} SELECT kind, sum(plain::INT)::BIGINT AS plain, sum(aware::INT)::BIGINT AS aware, count(*) AS "of" FROM judged GROUP BY ROLLUP (kind)""",
+    "eval_misses": OVER_FIVE + f", {JUDGED} SELECT qid, kind, plain, aware_at_all FROM judged WHERE NOT aware",
+    "eval_disagreements": OVER_FIVE + f", {JUDGED} SELECT qid, kind, plain, aware FROM judged WHERE plain <> aware",
+    "eval_regressions": OVER_FIVE + f", {JUDGED} SELECT qid, plain, aware FROM judged WHERE kind = 'ordinary' AND plain AND NOT aware",
+    "verdicts": OVER_REQUESTS + """SELECT qid, asked, CASE WHEN branch <> 'letter' THEN called END AS document, branch,
+  CASE branch WHEN 'letter' THEN 'letter for letter, on ' || array_to_string(q, ' and ') WHEN 'nothing contains' THEN 'nothing contains ' || array_to_string(q, ' or ') || ', so by meaning instead'
+    ELSE CASE WHEN document IS NULL AND stands_alone THEN 'by meaning alone: nothing literal in it, no document named, no subject carried, so plain similarity gives the same'
+      ELSE concat_ws(', ', 'by meaning', 'within ' || called || ', because it says ' || names, CASE WHEN NOT stands_alone THEN 'with the subject carried from the question before' END) END END AS how FROM quoted""",
+    "answers": OVER_REQUESTS + "SELECT qid, rank, id, document, heading, text, round(score, 4)::DOUBLE AS score, why FROM aware JOIN chunks USING (doc, chunk_ord)",
+    "ways_of_writing": f"""WITH {MANUALS}, titles AS (SELECT doc, {norm(TITLE)} AS n, regexp_extract({TITLE}, '\\b[A-Za-z]{{1,5}}[-_ ]?\\d{{2,}}\\b') AS code FROM manuals), v AS ({variants('titles', 'code')}),
+w AS (SELECT *, {words('n')} AS l FROM v)
+SELECT doc AS document, array_to_string(list_transform(list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'i': i, 't': x[i], 'first': list_position(x, x[i]) = i}}), lambda s: s.first), lambda s: s.t), ' | ') AS ways FROM (
+  SELECT doc, list_filter(list_concat([n, coalesce(l[1], ''), array_to_string(l[greatest(len(l) - 1, 1):], ' '), array_to_string(l[greatest(len(l) - 2, 1):], ' ')], variants), lambda t: length(t) >= 3 AND t NOT IN {EMPTY}) AS x FROM w)""",
+    "windows": f"""WITH docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {SECTIONS}
+bodies AS (SELECT doc_id, sec, max(CASE WHEN head THEN regexp_replace(bare, '^#+\\s*', '') END) AS heading,
+  regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), '^{SPACE}+|{SPACE}+$', '', 'g') AS body FROM marked GROUP BY doc_id, sec),
+whole AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS section_at, heading, replace(t, chr(13), '') AS t FROM (
+  SELECT doc_id, sec, heading, CASE WHEN coalesce(heading, '') = '' THEN body WHEN body = '' THEN heading ELSE heading || chr(10) || body END AS t FROM bodies) WHERE t <> ''),
+started AS (SELECT doc_id, section_at, heading, t, length(t) AS n, unnest(range(0, CASE WHEN length(t) > 900 THEN (ceil((length(t) - 900) / 720) * 720)::BIGINT ELSE 0 END + 1, 720)) AS spot FROM whole),
+raw AS (SELECT *, substr(t, spot + 1, 900) AS r FROM started),
+began AS (SELECT *, CASE WHEN spot > 0 AND regexp_matches(substr(t, spot, 1), '[A-Za-z0-9_]') AND regexp_matches(r, '^[A-Za-z0-9_]') THEN regexp_replace(r, '^[^{GAP}]*[{GAP}]', '') ELSE r END AS b FROM raw),
+tails AS (SELECT *, right(b, 120) AS tail FROM began),
+stops AS (SELECT *, greatest(CASE WHEN contains(tail, '. ') THEN length(regexp_extract(tail, '(?s)^(.*)\\. ', 1)) + 1 ELSE 0 END, length(regexp_extract(tail, '(?s)^(.*\\n)', 1))) AS stop FROM tails),
+cut AS (SELECT *, regexp_replace(CASE WHEN spot + 900 < n AND stop > 21 THEN left(b, length(b) - length(tail) + stop) ELSE b END, '^{SPACE}+|{SPACE}+$', '', 'g') AS text FROM stops)
+SELECT doc_id, doc_id::VARCHAR AS name, doc_id || '#' || chunk_ord AS id, chunk_ord, section_at, heading, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_at, spot) - 1 AS chunk_ord FROM cut WHERE text <> '')""",
     "sections": f"""WITH docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {SECTIONS}
 parts AS (SELECT doc_id, sec, max(CASE WHEN head THEN regexp_replace(bare, '^#+\\s*', '') END) AS heading,
   regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), '^[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}\\x{{feff}}]+|[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}\\x{{feff}}]+$', '', 'g') AS body FROM marked GROUP BY doc_id, sec)

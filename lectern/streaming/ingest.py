@@ -9,10 +9,10 @@ from lectern.operators.corpus import Corpus
 
 
 def ingest(corpus: Corpus, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Feed a stream of (name, text) into a collection. Each micro-batch is one change: documents of a name replace the
-    added one of that name, the last in a batch wins, and the index is rebuilt once per batch.
+    """Feed a stream of (name, and text, bytes of a PDF or base64) into a collection. Each micro-batch is one change: documents of a name replace the
+    added one of that name, the greatest text in a batch wins, and the index is rebuilt once per batch.
 
-    Documents that the collection refuses are kept with the reason (name, text, why) in a Parquet table beside the
+    Documents that the collection refuses are kept as they came with the reason, why, in a Parquet table beside the
     checkpoint, ``{checkpoint}-refused``, one partition per batch; a batch that is repeated replaces its own."""
     refused = checkpoint.rstrip("/") + "-refused"
 
