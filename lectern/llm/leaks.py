@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.shared import written
 from lectern.llm.forms import with_form
@@ -231,7 +232,7 @@ class PositionalIndex:
             held_block = (run, [k for k, _ in block], starts, np.concatenate([*numbers, np.empty(0, np.int64)]), *_anchors(numbers, often, run, depth))
             sent = self.spark.sparkContext.broadcast(held_block)
             lists = self.postings.select("term", "at", "places").join(terms, "term").select("number", "at", "places")
-            found = found.unionByName(lists.groupBy("at").applyInArrow(_searching(sent, slop, least), f"doc bigint, item {kind}, words int"))
+            found = found.unionByName(lists.groupBy("at").applyInArrow(_searching(sent, slop, least, to_arrow_type(held.schema["item"].dataType)), f"doc bigint, item {kind}, words int"))
         keyed = found.join(self.tokens.select("doc", "key"), "doc")
         return keyed.groupBy(F.col("key").alias(self.key), F.col("item").alias(item)).agg(F.max("words").alias("words"))
 
@@ -257,14 +258,13 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(n), block)), pa.array(n), parted], ["term", "at", "n", "places"])
 
 
-def _searching(sent, slop: int, least: int):
+def _searching(sent, slop: int, least: int, kind: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
         block, at = Block(*sent.value), table.column("at")[0].as_py()
         lists = table.column("places").combine_chunks()
         term = np.repeat(np.asarray(table.column("number")), np.asarray(pc.list_value_length(lists))).astype(np.int64)
         found = _close(Postings(term, np.asarray(lists.flatten())), block, slop, least)
         rows, items, words = zip(*found) if found else ((), (), ())
-        kind = pa.array(block.items).type
         return pa.table({"doc": pa.array([(at << BLOCK_BITS) + r for r in rows], pa.int64()), "item": pa.array([block.items[i] for i in items], kind), "words": pa.array(words, pa.int32())})
 
     return run
