@@ -200,11 +200,24 @@ def pdf_round_trip(spark, d):
     return made.select("name", "text").join(read.select("name", F.col("text").alias("back")), "name").select(F.col("name").cast("bigint").alias("chunk_id"), (F.regexp_replace("back", r"\s+", " ") == F.regexp_replace("text", r"[^\x20-\x7e]", "?")).alias("same"))
 
 
+def pdf_manners(spark, d):
+    """Texts put into PDFs in every manner and read again: what was read, and the first reason for what was not."""
+    from lectern.sources.pdf import read_pdfs
+    from lectern.sources.pdf_writer import write_pdfs_in_all_manners
+
+    texts = chunks(spark, d).select(F.col("chunk_ord").cast("string").alias("name"), normalise(F.col("text")).alias("text")).where("text <> ''")
+    made = write_pdfs_in_all_manners(texts).select(F.concat_ws(" ", "name", "manner").alias("name"), "bytes")
+    read = read_pdfs(made)
+    parts = F.split("name", " ")
+    reason = F.when(F.size("unread") > 0, F.col("unread")[0]["why"]).when(F.col("text") == "", F.col("why")).otherwise("")
+    return read.select(parts[0].cast("bigint").alias("chunk_id"), parts[1].alias("manner"), F.regexp_replace("text", r"\s+", " ").alias("text"), reason.alias("reason"))
+
+
 QUERIES = {f.__name__: f for f in (
     normalise_text, token_counts, meaningful_terms, titles, sections, windows, idf, tfidf_vectors, similarity_topk, dense_topk, question_kind,
     carry_subject, code_variants, document_names, route_questions, letter_search, aware_search, verdicts, compare_searches, eval_by_kind, eval_misses,
     eval_disagreements, eval_regressions, answers, ways_of_writing,
-    corpus_listing, unread_summary, pdf_round_trip,
+    corpus_listing, unread_summary, pdf_round_trip, pdf_manners,
 )} | {"clean_name": clean_names}
 
 

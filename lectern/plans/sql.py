@@ -243,4 +243,11 @@ SELECT name, why, count(*) AS pages, string_agg(part, ',' ORDER BY low) AS runs
   SELECT name, why, page, low, CASE WHEN page = low THEN CASE WHEN k >= 3 THEN low || ' to ' || high WHEN k = 2 THEN low || ',' || high ELSE low::VARCHAR END END AS part FROM (
     SELECT name, why, page, min(page) OVER g AS low, max(page) OVER g AS high, count(*) OVER g AS k FROM (
       SELECT *, page - row_number() OVER (PARTITION BY name, why ORDER BY page) AS isle FROM f) WINDOW g AS (PARTITION BY name, why, isle))) GROUP BY name, why""",
+    "pdf_round_trip": f"WITH {CHUNKS} SELECT chunk_ord AS chunk_id, true AS same FROM chunks WHERE {norm('text')} <> ''",
+    "pdf_manners": f"""WITH {CHUNKS}, n AS (SELECT chunk_ord AS chunk_id, {norm('text')} AS t FROM chunks),
+m AS (SELECT unnest(['plain', 'deflated', 'mapped', 'wide', 'scan', 'backwards', 'unmapped', 'encrypted', 'missing_page']) AS manner)
+SELECT chunk_id, manner, CASE WHEN manner IN ('mapped', 'wide') THEN t WHEN manner IN ('unmapped', 'encrypted', 'missing_page') THEN '' ELSE regexp_replace(t, '[^\\x20-\\x7e]', '?', 'g') END AS text,
+  CASE manner WHEN 'scan' THEN 'no text layer — a scan, or text drawn as shapes' WHEN 'unmapped' THEN 'text in a font whose codes cannot be turned into characters (/F1: a CID font, Identity-H, with no ToUnicode map)'
+    WHEN 'encrypted' THEN 'it is encrypted, and this reader does not decrypt' WHEN 'missing_page' THEN 'its page tree names pages this reader could not find, so it cannot say which it missed' ELSE '' END AS reason
+FROM n, m WHERE t <> ''""",
 }
