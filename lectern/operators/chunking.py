@@ -13,6 +13,9 @@ LOOK_BACK = 120
 LEAST_STOP = 20
 SIZE, OVERLAP, LEAST_WIDTH = 900, 180, 120
 
+#: Windows are cut out of slabs of so many steps, as finding a place in a text takes time in proportion to the place.
+SLAB = 64
+
 BLANKS = r"^(?U)[\s\x{feff}]+|(?U)[\s\x{feff}]+$"
 
 
@@ -63,16 +66,24 @@ def window_array(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
     def cut(whole: Column, n: Column) -> Column:
         last = F.when(n > wide, F.ceil((n - wide) / step) * step).otherwise(0).cast("int")
 
-        def piece(at: Column) -> Column:
-            raw = F.substring(whole, at + 1, F.lit(wide))
-            inside = (at > 0) & F.substring(whole, at, F.lit(1)).rlike("[A-Za-z0-9_]") & raw.rlike("^[A-Za-z0-9_]")
+        def piece(slab: Column, at: Column, first: Column) -> Column:
+            # A slab begins one character before its first window, so that every window sees the one before it.
+            here = at - first + F.when(first > 0, 1).otherwise(0)
+            raw = F.substring(slab, here + 1, F.lit(wide))
+            inside = (at > 0) & F.substring(slab, here, F.lit(1)).rlike("[A-Za-z0-9_]") & raw.rlike("^[A-Za-z0-9_]")
             began = F.when(inside, F.regexp_replace(raw, r"(?s)^[^\s\x{a0}\x{feff}\x{2000}-\x{200a}\x{202f}\x{3000}]*[\s\x{a0}\x{feff}\x{2000}-\x{200a}\x{202f}\x{3000}]", "")).otherwise(raw)
             tail = F.right(began, F.lit(LOOK_BACK))
             stop = F.length(F.regexp_extract(tail, r"(?s)^(.*(?:\.(?= )|\n))", 1))
             ended = F.when((at + wide < n) & (stop > LEAST_STOP + 1), F.left(began, F.length(began) - F.length(tail) + stop)).otherwise(began)
             return trimmed(ended)
 
-        return F.filter(F.transform(F.sequence(F.lit(0), last, F.lit(step)), piece), lambda p: p != "")
+        def of_slab(first: Column) -> Column:
+            held = F.struct(F.substring(whole, F.greatest(first, F.lit(1)), F.lit(SLAB * step + wide + 1)).alias("t"), first.alias("first"))
+            ats = lambda x: F.sequence(x["first"], F.least(x["first"] + (SLAB - 1) * step, last), F.lit(step))
+            return F.flatten(F.transform(F.array(held), lambda x: F.transform(ats(x), lambda at: piece(x["t"], at, x["first"]))))
+
+        pieces = F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(SLAB * step)), of_slab))
+        return F.filter(pieces, lambda p: p != "")
 
     bound = F.transform(F.array(F.struct(clean.alias("t"), F.length(clean).alias("n"))), lambda x: cut(x["t"], x["n"]))
     return F.flatten(bound)

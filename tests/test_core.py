@@ -104,6 +104,17 @@ def test_windows_of_little(spark):
     assert first == ("The valve opens at once. " * 36).strip() and text.index(second, 720) == 725 and second.endswith("once.")
 
 
+def test_windows_of_very_long_texts(spark):
+    # More windows than a slab has: each must be what the same stretch gives by itself, and the time must stay linear.
+    text = " ".join(f"word{i}." if i % 9 == 0 else f"word{i}" for i in range(400_000))
+    began = time.time()
+    got = one(spark, chunking.window_array, text)
+    assert time.time() - began < 60 and len(got) == 1 + -(-(len(text) - 900) // 720)
+    for k in (0, 1, 63, 64, 65, 128, 3000):
+        alone = one(spark, chunking.window_array, text[k * 720 - 720 if k else 0 : k * 720 + 2000])
+        assert got[k] == alone[1 if k else 0]
+
+
 def test_cut_up_keeps_documents_of_one_name_apart(spark):
     docs = spark.createDataFrame([(1, "a", "# T\n" + "word. " * 300), (2, "a", "# T\nshort")], "doc_id int, name string, text string")
     rows = chunking.cut_up(docs).collect()
