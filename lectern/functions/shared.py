@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,13 +16,19 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, a folder of this process."""
+    """The folder named in spark.checkpoint.dir; only where that is unset and all runs in one process, as in tests, a
+    folder of this process, removed at its end. On a cluster the setting must name a folder all executors share."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not named:
         # sc.getCheckpointDir() would also give a folder some caller set for RDDs.
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, own, True)
+        named = "file://" + own
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
