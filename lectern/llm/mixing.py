@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.shared import written
@@ -15,24 +15,31 @@ from lectern.functions.shared import written
 #: Where the files of public tokenizers lie, and the one that counts.
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
+LARGEST_RANKS = 64 << 20
 # Fixed value: how the byte-level vocabulary above parts a text before merging.
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Order scores are looked up by bin first, so that only the documents of one bin are ever sorted together.
 BINS = 16384
 
 
-def token_counter(folder: str = TOKENIZERS, ranks: str = RANKS):
-    """A column function: the number of tokens of a text. The vocabulary is read once per Python worker."""
+def token_counter(spark: SparkSession, folder: str = TOKENIZERS, ranks: str = RANKS):
+    """A column function: the number of tokens of a text. The driver reads the vocabulary and sends it to the workers,
+    which need no file of their own and prepare it once each."""
+    with open(f"{folder}/{ranks}", "rb") as f:
+        held = f.read()
+    if len(held) > LARGEST_RANKS:
+        raise ValueError(f"{ranks} is larger than the {LARGEST_RANKS} bytes that are sent to the workers")
+    sent = spark.sparkContext.broadcast(held)
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(f"{folder}/{ranks}", "rb") as f:
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encoder = tiktoken.Encoding("counting", pat_str=PARTS, mergeable_ranks=known, special_tokens={})
         for texts in batches:
-            yield pd.Series([None if t is None else len(encoder.encode_ordinary(t)) for t in texts], dtype="Int64")
+            tokens = encoder.encode_ordinary_batch(texts.fillna("").tolist(), num_threads=1)
+            yield pd.Series([len(t) for t in tokens], dtype="Int64").where(texts.notna().to_numpy())
 
     return count
 
@@ -74,7 +81,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
         same_source(F.col("source")).alias("__s"), F.col("source").alias("proper"), "target_share", "max_repeats").dropDuplicates(["__s"])
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), same_source(F.col(source)).alias("__s"), F.col(text).alias("text"))
     rows = rows.join(goal.select("__s"), "__s", "left_semi")
-    sized = rows.select("key", "__s", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), (count or token_counter())(F.col("text")).alias("tokens"))
+    sized = rows.select("key", "__s", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), (count or token_counter(docs.sparkSession))(F.col("text")).alias("tokens"))
     sized = written(sized.where("tokens > 0"), "mix-sizes").distinct()
     same = sized.groupBy("__s", "h1", "h2").agg(F.count(F.lit(1)).alias("same"))
     sized = written(sized.join(same, ["__s", "h1", "h2"]).drop("h1", "h2"), "mix-same")
