@@ -38,7 +38,7 @@ class Sketching:
     samples: int = 288
     bits: int = 768
     errors: float = 3.3
-    missed: float = 0.015
+    missed: float = 0.01
     large: int = 32
 
     def __post_init__(self):
@@ -292,7 +292,9 @@ class NearDuplicates:
         self.sketched = texts = rows.where("kind = 0").select("id", "rep", "odd")
         tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
         met = rows.where("kind = 1").select("part", "at", "gaps", "who").repartition(tasks, "part").groupBy("part").applyInArrow(_met(how, width), "a bigint, b bigint, bucket bigint")
-        met = written(met, "near-met")
+        met_place = new_place(spark, "near-met")
+        met.write.parquet(met_place)
+        met = spark.read.schema(met.schema).parquet(met_place)
         discard(spark, f"{place}/kind=1")
         pairs = met.where("bucket is null").select("a", "b").repartition(tasks, "a").distinct()  # laid out for the next join
         near = pairs.join(texts.toDF("a", "rep_a", "odd_a"), "a").repartition(tasks, "b").join(texts.toDF("b", "rep_b", "odd_b"), "b")
@@ -301,6 +303,7 @@ class NearDuplicates:
         near = near.unionByName(self._large(met.where("bucket is not null"), texts, kind))
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = written(near, "near-candidates")
+        discard(spark, met_place)
         ends = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         # Written, so that only the texts of candidates are brought to one form and parted, and each once.
         texts = with_form(self.reps.join(ends, "rep", "left_semi"), "text", "form").select("rep", words(F.col("form")).alias("words"))

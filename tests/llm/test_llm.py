@@ -165,7 +165,7 @@ def test_packed_keys():
 
 def test_odd_sketch_decides():
     # Pairs just over the threshold stay under the limit; pairs of little similarity, which bands let through, do not.
-    how, rng = Sketching(shingle=3, threshold=0.5), np.random.default_rng(4)
+    how, rng = Sketching(shingle=3, threshold=0.5, samples=384, bits=1024), np.random.default_rng(4)
     apart = {}
     for shared in (0.1, 0.2, 0.5, 0.9):
         for _ in range(60):
