@@ -385,6 +385,31 @@ def test_spam(spark, monkeypatch):
     assert score_pages(df).where("spam").isEmpty()
 
 
+def test_spam_counts_first_mentions(spark):
+    """A short page of keywords is spam from its first word on, though its phrases are no repetitions yet."""
+    rng = random.Random(5)
+    small, word = "the of a in for with and not pas to".split(), lambda: "".join(rng.choice("ba re ko li nu ta se mo di fa pe ro".split()) for _ in range(3))
+    plain = lambda: " ".join([rng.choice(small), *(word() for _ in range(rng.choice([1, 1, 1, 1, 12])))])
+    mixed = lambda: rng.choice([rng.choice(small), word(), word().title(), str(rng.randint(1, 99)), ", " + word(), "(" + word(), ": " + word()])
+    prose = lambda part, parts, n: " ".join(" ".join(part() for _ in range(parts)) + "." for _ in range(n))
+    rows = [(i, prose(plain, 6, 4) if i % 2 else prose(mixed, 22, 3)) for i in range(300)]
+    offers, goods = ["pas cher", "acquista", "kaufen", "sconto"], ["duskley bench pump", "duskley coffee grinder"]
+    rows += [(900 + i, " ".join(f"{rng.choice(offers)} {rng.choice(goods)}" for _ in range(13))) for i in range(40)]
+    got = score_pages(spark.createDataFrame(rows, "doc_id bigint, text string")).where("spam").collect()
+    assert {r.doc_id for r in got} == {900 + i for i in range(40)}
+
+
+def test_spam_marks_first_mentions():
+    text = "buy red pump now buy red pump then buy red pump"
+    seq, _ = spam.classes([text, "buy red pump"], ahead=True)
+    low, again, ahead, fun = spam.LOWER, spam.LOWER_AGAIN, spam.LOWER + spam.AHEAD, spam.FUNCTION
+    assert seq.tolist() == [low, ahead, ahead, low, low, ahead, ahead, fun, low, again, again, low, low, low]
+    far, _ = spam.classes([text], memory=6, ahead=True)
+    assert spam.AHEAD not in (far & spam.AHEAD) and (far == spam.classes([text], memory=6)[0]).all()
+    plain, _ = spam.classes([text, "buy red pump"])
+    assert ((seq & (spam.AHEAD - 1)) == plain).all()
+
+
 def test_spam_classes():
     text = "The drive belt, the drive belt and the Drive belt!\n\nSee https://shop.test/p/1 #lock_nut E-42 7.5 kg\n> ABC"
     seq, counts = spam.classes(["", text, "x"])
