@@ -55,8 +55,11 @@ def unify_text(df: DataFrame, text: str, out: str = "form", vocabulary: DataFram
     def base(rows: DataFrame) -> DataFrame:
         return with_folded(rows, text, out).withColumn("__odd_letters", F.coalesce(odd & looks(o), F.lit(False)))
 
+    def composed_form(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.when(odd, _icu("compose", o)).otherwise(o))
+
     def composed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(out, F.when(odd, _icu("compose", o)).otherwise(o)).select(*df.columns, out)
+        return composed_form(rows).select(*df.columns, out)
 
     clear = composed(base(df).where(~F.col("__odd_letters")))
     # The filter on the raw text lets the scan drop most rows before any other work on them.
@@ -69,7 +72,10 @@ def unify_text(df: DataFrame, text: str, out: str = "form", vocabulary: DataFram
     # Composition is marked as not deterministic, so it stands in a projection of its own, after the aggregation.
     suspects = suspects.withColumn("candidate", _icu("compose", F.col("plain"))).withColumn("__word", F.lower("candidate"))
     if vocabulary is None:
-        vocabulary = df.where(~raw.rlike(ODD)).select(F.explode(_tokens(raw)).alias("token"))
+        # Every row has words to give, also those with characters to fold.
+        clean = df.where(~raw.rlike(ODD)).select(F.explode(_tokens(raw)).alias("token"))
+        words = F.when(F.col("__odd_letters"), F.filter(_tokens(o), lambda w: ~looks(w))).otherwise(_tokens(o))
+        vocabulary = clean.unionByName(composed_form(base(df.where(raw.rlike(ODD)))).select(F.explode(words).alias("token")))
     known = vocabulary.select(F.lower("token").alias("__word")).distinct().withColumn("known", F.lit(True))
     mixed, own = token.rlike(LATIN), F.col("plain").rlike(FOREIGN)
     decision = (

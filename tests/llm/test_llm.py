@@ -83,6 +83,24 @@ def test_unify_leaves_words_of_other_alphabets(spark):
     assert [tuple(r) for r in same_form_pairs(same, "id", "text").collect()] == [(1, 2)] and same_form_pairs(same, "id", "text", vocabulary=nothing).isEmpty()
 
 
+def test_unify_takes_words_from_every_row(spark):
+    """A word is known although it only stands in texts with other characters to fold: signs, blanks, widths, accents, look-alikes."""
+    holders = ["a coat – red", "a\u00a0coat", "a\tcoat", "ａ ｃｏａｔ", "a co\u200bat", "a coat of 10 kΩ", "a coat, сomplete", "a coat, это"]
+    for holder in holders:
+        df = spark.createDataFrame([(1, holder), (2, "the СОАТ – red")], "id bigint, text string")
+        assert {r.id: r.form for r in unify_text(df, "text").rows.collect()}[2] == "the COAT – red", holder
+    pairs = spark.createDataFrame([(2, "the СОАТ – red"), (3, "the COAT – red")], "id bigint, text string")
+    assert [tuple(r) for r in same_form_pairs(pairs, "id", "text").collect()] == [(2, 3)]
+    # A word with an accent is known in its composed form, once, however it was typed.
+    rows = [(1, "CAFE\u0301 – noir"), (2, "CAFÉ noir"), (3, "le САFÉ"), (4, "А\u0301 CAFÉ"), (5, "le Е\u0301Е"), (6, "ÉE – oui")]
+    u = unify_text(spark.createDataFrame(rows, "id bigint, text string"), "text")
+    got = {r.id: r.form for r in u.rows.collect()}
+    assert len(got) == u.rows.count() == 6 and got[3] == "le CAFÉ" and got[5] == "le ÉE"
+    # Tokens that hold look-alikes themselves are no witnesses.
+    alone = spark.createDataFrame([(1, "red СОАТ – x"), (2, "the СОАТ")], "id bigint, text string")
+    assert {r.decision for r in unify_text(alone, "text").tokens.collect()} == {"kept"}
+
+
 def test_unify_keeps_every_row(spark):
     # Styled Greek letters are folded to Greek ones; every character that is must be seen in the text as it was typed.
     styled = [c for c, plain in forms.SIGNS.items() if re.search("[\u0370-\u03ff]", plain)]
