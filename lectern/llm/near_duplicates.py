@@ -100,25 +100,29 @@ def sketches(flat: np.ndarray, counts: np.ndarray, how: Sketching) -> tuple[np.n
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     factor = np.random.default_rng(20240229).integers(0, 2**32, how.samples, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((len(counts), how.samples), np.uint32)
-    for at in range(0, len(counts), 128):  # few texts at a time, so that their hashes stay in the cache
+    members, start = how.members().T, np.arange(how.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    apart = np.arange(how.flips, dtype=np.uint64) << np.uint64(32)
+    keys = np.empty((len(counts), how.bands), np.uint64)
+    odd = np.empty((len(counts), how.bits // 64), np.uint64)
+    for at in range(0, len(counts), 128):  # few texts at a time, so that all that is made of them stays in the cache
         begin = starts[at : at + 128]
+        least = np.empty((len(begin), how.samples), np.uint32)
         some = slice(begin[0], starts[at + 128] if at + 128 < len(counts) else None)
         one, two, inner = low[some], high[some], begin - begin[0]
         work = np.empty_like(one)
         for i in range(how.samples):
             np.multiply(one, factor[i], out=work)
             np.add(work, two, out=work)
-            least[at : at + 128, i] = np.minimum.reduceat(work, inner)
-    keys = np.tile(np.arange(how.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(counts), 1))
-    for samples in how.members().T:
-        keys = mixed(keys + least[:, samples])
-    # Every sample flips one bit; samples are told apart by their number, so equal values of two of them do not cancel.
-    spot = mixed(least[:, : how.flips].astype(np.uint64) + (np.arange(how.flips, dtype=np.uint64) << np.uint64(32))) % np.uint64(how.bits)
-    odd = np.zeros((len(counts), how.bits // 64), np.uint64)
-    row = np.arange(len(counts))
-    for i in range(how.flips):
-        odd[row, (spot[:, i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (spot[:, i] & np.uint64(63))
+            least[:, i] = np.minimum.reduceat(work, inner)
+        key = np.tile(start, (len(begin), 1))
+        for samples in members:
+            key = mixed(key + least[:, samples])
+        keys[at : at + 128] = key
+        # Every sample flips one bit; samples are told apart by their number, so equal values of two of them do not cancel.
+        spot = mixed(least[:, : how.flips].astype(np.uint64) + apart) % np.uint64(how.bits)
+        spot = spot.astype(np.int64) + (np.arange(len(begin)) * how.bits)[:, None]
+        flips = np.bincount(spot.ravel(), minlength=len(begin) * how.bits).reshape(len(begin), -1)
+        odd[at : at + 128] = np.packbits((flips & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
     return keys, odd
 
 
@@ -142,6 +146,17 @@ def unpacked(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)[gaps != np.iinfo(gaps.dtype).max]
 
 
+def ascending(keys: np.ndarray, tags: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order with their tags, each less than 2 ** ``room``; those of equal keys ascend too. Both are sorted as
+    one number where they fit it, which takes a fraction of the time of sorting by index."""
+    if len(keys) and int(keys.max()).bit_length() + room > 64:
+        order = np.lexsort((tags, keys))
+        return keys[order], tags[order]
+    both = keys << np.uint64(room) | tags.astype(np.uint64)
+    both.sort()
+    return both >> np.uint64(room), (both & np.uint64(2**room - 1)).astype(tags.dtype)
+
+
 def _sketched(how: Sketching, bits: int, parts: int):
     """Two kinds of rows: texts (id, rep, odd), and their band keys (part, at, gaps, who), packed by part of the key space.
 
@@ -167,8 +182,7 @@ def _sketched(how: Sketching, bits: int, parts: int):
             names = ["kind", "id", "rep", "odd", "part", "at", "gaps", "who"]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids, batch.column("rep").filter(pa.array(some)), words, none(pa.int32()), none(pa.int64()), none(pa.binary()), none(pa.binary())], names)
             keys = (keys >> np.uint64(64 - bits)).ravel()
-            order = np.argsort(keys, kind="stable")
-            keys, who = keys[order], (order // how.bands).astype("<u2")
+            keys, who = ascending(keys, np.repeat(np.arange(n, dtype="<u2"), how.bands), 16)
             span = (np.uint64(1) << np.uint64(bits)) // np.uint64(parts) + np.uint64(1)
             edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) * span)
             held = np.flatnonzero(np.diff(edges))
@@ -187,27 +201,28 @@ def _met(how: Sketching, width: int):
     def run(table: pa.Table) -> pa.Table:
         gaps = [np.frombuffer(g, f"<u{width}") for g in table.column("gaps").to_pylist()]
         who = [np.frombuffer(w, "<u2") for w in table.column("who").to_pylist()]
-        keys = np.concatenate([unpacked(g) for g in gaps])
-        ids = np.concatenate([(np.int64(at) << 16) | w.astype(np.int64) for at, w in zip(table.column("at").to_pylist(), who)])
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        ends, who = np.cumsum([len(w) for w in who]), np.concatenate(who)
+        keys, place = ascending(np.concatenate([unpacked(g) for g in gaps]), np.arange(len(who)), len(who).bit_length())
+        same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+        shared = np.flatnonzero(same[1:] | same[:-1])  # few keys are shared; all that follows is done for these alone
+        keys, place = keys[shared], place[shared]
+        ids = (np.asarray(table.column("at"))[np.searchsorted(ends, place, "right")] << 16) | who[place].astype(np.int64)
+        first = np.flatnonzero(~same[shared])
         size = np.diff(np.append(first, len(keys)))
         many = np.repeat(size, size)
         part = np.int64(table.column("part")[0].as_py())
         large = many > how.large
         buckets = (part << 40) | np.repeat(np.arange(len(first)), size)[large]
         members = ids[large]
-        met = (many > 1) & ~large
-        keys, ids = keys[met], ids[met]
-        a, b = [], []
-        for apart in range(1, min(how.large, int(many[met].max(initial=1)))):
-            same = np.flatnonzero(keys[apart:] == keys[:-apart])
-            a.append(ids[same])
-            b.append(ids[same + apart])
-        a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        keys, ids = keys[~large], ids[~large]
+        texts, ids = np.unique(ids, return_inverse=True)  # pairs are told apart by one number made of the places of both ids
+        met = []
+        for apart in range(1, min(how.large, int(many[~large].max(initial=1)))):
+            two = np.flatnonzero(keys[apart:] == keys[:-apart])
+            a, b = ids[two], ids[two + apart]
+            met.append(np.minimum(a, b)[a != b] * len(texts) + np.maximum(a, b)[a != b])
+        pairs = np.unique(np.concatenate([*met, np.empty(0, np.int64)]))
+        pairs = np.stack([texts[pairs // max(1, len(texts))], texts[pairs % max(1, len(texts))]], 1)
         none = lambda k: pa.nulls(k, pa.int64())
         return pa.table({
             "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(members)]),
@@ -241,9 +256,9 @@ def _compared_blocks(most_odd: int):
 
 
 def shingles(words_column: str, k: int) -> Column:
-    """The distinct runs of ``k`` consecutive words of an array column, as 64-bit hashes."""
+    """The distinct runs of ``k`` consecutive words of an array column, as 64-bit hashes (those of slices, without cutting any)."""
     w = F.col(words_column)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
     return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -264,14 +279,16 @@ class NearDuplicates:
         rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
         rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
         self.keyed = written(rows.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "near-keys")
-        self.classes = self.keyed.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.sum("n").alias("n"))
-        self.members = self.keyed.join(self.classes.select("h1", "h2", F.col("rep").alias("class")), ["h1", "h2"]).select("key", "class")
+        # Of the classes only those of more than one row are told; every other row is a class by itself.
+        classes = self.keyed.groupBy("h1", "h2").agg(F.min("key").alias("class"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"))
+        self.many = written(classes.where("n > 1").drop("n"), "near-copies")
         self.reps = self._representatives(rows)
         self.links = self._links()
+        self.members = written(self.keyed.join(self.many, ["h1", "h2"], "left").select("key", F.coalesce("class", "key").alias("class")), "near-members")
 
     def _representatives(self, rows: DataFrame) -> DataFrame:
         """rep, text: each class once. Only rows of classes that occur more than once meet a shuffle of their texts."""
-        many = written(self.classes.where("n > 1").select("h1", "h2", F.lit(True).alias("many")), "near-copies")
+        many = self.many.select("h1", "h2", F.lit(True).alias("many"))
         marked = rows.join(many, ["h1", "h2"], "left").select("key", "text", F.coalesce("many", F.lit(False)).alias("many"))
         once = marked.where(~F.col("many")).select(F.col("key").alias("rep"), "text")
         merged = marked.where("many").groupBy("text").agg(F.min("key").alias("rep")).select("rep", "text")
@@ -282,7 +299,8 @@ class NearDuplicates:
         hashed = with_form(self.reps, "text", "form").select("rep", F.transform(words(F.col("form")), lambda w: F.xxhash64(w)).alias("words"))
         kind = hashed.schema["rep"].dataType.simpleString()
         # Key space and parts follow the number of texts, so that chance meetings and the work of a task do not grow with it.
-        keys = max(1, self.classes.count() * how.bands)
+        copies = self.many.agg(F.sum(F.col("keys") - 1)).first()[0] or 0
+        keys = max(1, (self.keyed.count() - copies) * how.bands)
         bits, parts = min(62, keys.bit_length() + 8), max(1, keys // MEETING)
         run, width = _sketched(how, bits, parts)
         place = new_place(spark, "near-sketches")
@@ -330,7 +348,7 @@ class NearDuplicates:
     def groups(self) -> DataFrame:
         """key, class, copies (records of the class), links (classes it is linked to)."""
         ends = self.links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-        sizes = self.classes.join(self.keyed, ["h1", "h2"]).groupBy(F.col("rep").alias("class")).agg(F.countDistinct("key").alias("copies"))
+        sizes = self.members.groupBy("class").agg(F.countDistinct("key").alias("copies"))
         stats = sizes.join(ends, "class", "left").na.fill(0, ["links"])
         return self.members.join(stats, "class")
 

@@ -20,6 +20,10 @@ def records(df: DataFrame, key: str = "chunk_id", *columns: str, text: str = "te
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, *columns, text).distinct()
 
 
+#: A word as ``BETWEEN`` leaves it.
+WORD = r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
+
+
 def split_words(form: Column) -> Column:
     """Like ``words``, but empty strings may be among them."""
     return F.split(F.concat(F.lit(" "), F.lower(form), F.lit(" ")), BETWEEN)
@@ -27,7 +31,7 @@ def split_words(form: Column) -> Column:
 
 def words(form: Column) -> Column:
     """Runs between white space in lower case, without what is no letter or digit at their ends; empty runs are none."""
-    return F.filter(split_words(form), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(form), F.lit(WORD), F.lit(0))
 
 
 def term_rows(recs: DataFrame, *keep: str, text: str = "text", least: int = 3, whole: bool = False) -> DataFrame:

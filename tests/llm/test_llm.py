@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import forms, near_duplicates, spam
+from lectern.llm import forms, near_duplicates, spam, terms
 from lectern.llm.distinctive import concentrated, least_weight, log_entropy
 from lectern.llm.leaks import PositionalIndex
 from lectern.llm.mixing import mix
@@ -181,6 +181,38 @@ def test_packed_keys():
         assert (near_duplicates.unpacked(near_duplicates.packed(keys, width)) == keys).all()
 
 
+def test_keys_ascend_with_their_tags():
+    rng = np.random.default_rng(5)
+    for bits in (12, 40, 62):  # the last do not fit one number with their tags
+        keys, tags = rng.integers(0, 2**bits, 3000, dtype=np.uint64), rng.integers(0, 2**16, 3000).astype("<u2")
+        got = near_duplicates.ascending(keys, tags, 16)
+        assert got[1].dtype == tags.dtype and list(zip(*(x.tolist() for x in got))) == sorted(zip(keys.tolist(), tags.tolist()))
+    assert [len(x) for x in near_duplicates.ascending(keys[:0], tags[:0], 16)] == [0, 0]
+
+
+def test_near_duplicates_do_no_work_twice(spark, near):
+    # Members are read as written, not grouped again by each use, and shingles are hashed where they stand, not cut out.
+    _, op = near
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Join|Aggregate", plan(op.members))
+    df = spark.createDataFrame([("a b c d a b c",), ("a b c",), ("a b",), ("",)], "t string").select(F.split("t", " ").alias("w"))
+    runs = df.select("w", near_duplicates.shingles("w", 3).alias("s"))
+    assert "slice(" not in plan(runs)
+    hashed = [F.xxhash64(F.slice("w", i, 3)) for i in range(1, 5)]
+    for r in runs.select("w", "s", F.array(*hashed).alias("h")).collect():
+        assert r.s == r.h[: min(4, max(0, len(r.w) - 2))]
+
+
+def test_words_are_what_stands_between(spark):
+    rng = random.Random(6)
+    signs = ["a", "Bc", "é", "İ", "中", "😀", "𝒜", "1", "²", " ", " ", "\n", "\t", "\x0b", "\x85", "\u2028", "\xa0", ".", ",", "-", "_", "'", "\u0301", "("]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(2000)] + ["", " ", "a" + "." * 100000, "a." * 50000, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(terms.words(F.col("t")).alias("x"), F.filter(terms.split_words(F.col("t")), lambda w: w != "").alias("y"))
+    assert "split(" not in both.select("x")._jdf.queryExecution().executedPlan().toString()
+    assert both.where("not (x <=> y)").count() == 0
+
+
 def test_odd_sketch_decides():
     # Pairs just over the threshold stay under the limit; pairs of little similarity, which bands let through, do not.
     how, rng = Sketching(shingle=3, threshold=0.5, samples=384, bits=1024), np.random.default_rng(4)
