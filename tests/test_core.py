@@ -342,6 +342,51 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert {(r.qid, r.rank): r.vec_id for r in got.collect()} == true
 
 
+@pytest.mark.parametrize("at_a_time", [40, 1 << 20])
+@pytest.mark.parametrize("letters", [False, True])
+def test_best_of_postings_is_brute_force(spark, monkeypatch, at_a_time, letters):
+    import random
+
+    from lectern.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "BLOCK_POSTINGS", at_a_time)
+    monkeypatch.setattr(retrieve, "BLOCK_NUMBERS", 300)
+    r = random.Random(5)
+    chunks = [(f"d{min(9, r.randrange(20))}", i) for i in range(200)]
+    value = (lambda: 1.0) if letters else (lambda: r.choice([0.125, 0.25, 0.5, 0.75]))  # many ties
+    postings = [(*c, f"t{t}", value(), r.choice([0.0, 1.0]) if letters else None) for c in chunks for t in r.sample(range(30), r.choice([1, 4, 12]))]
+    asked = [(q, r.choice([None, None, "d3", "d9", "none"]), f"t{t}", value(), at) for q in range(60) for at, t in enumerate(r.sample(range(32), r.choice([1, 3, 6])))]
+    want = set()
+    for q in range(60):
+        own, scores, seen = sorted((a for a in asked if a[0] == q), key=lambda a: a[4]), {}, set()
+        to = own[0][1]
+        own = [(q, to, *a[2:]) for a in own]
+        for _, _, t, w, _ in own:
+            for d, o, term, v, extra in postings:
+                if term == t and to in (None, d):
+                    scores[d, o] = scores.get((d, o), 0.0) + w * v + (extra if letters and (d, o) not in seen else 0.0)
+                    seen.add((d, o))
+        for rank, ((d, o), s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4], 1):
+            want.add((q, d, o, rank, round(s, 9)))
+    to_of = {}
+    asked = [(q, to_of.setdefault(q, to), t, w, at) for q, to, t, w, at in asked]
+    found = retrieve.best_of_postings(
+        spark.createDataFrame(asked, "gid bigint, to string, term string, weight double, at int"),
+        spark.createDataFrame(postings, "doc string, chunk_ord bigint, term string, weight double, extra double").repartition(3), 4)
+    assert {(x["gid"], x["doc"], x["chunk_ord"], x["rank"], round(x["score"], 9)) for x in found.collect()} == want
+
+
+def test_index_leaves_no_table_that_nothing_reads(spark, monkeypatch, tmp_path):
+    from lectern.functions import shared
+    from lectern.operators import retrieve
+
+    chunks = spark.createDataFrame([("a", 0, "a#0", "a", "Rolls", "paper rolls")], "doc string, chunk_ord bigint, id string, document string, heading string, text string")
+    docs = spark.createDataFrame([("a", "a", "Rolls", "Rolls")], "doc string, name string, text string, title string")
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    retrieve.build_index(chunks, docs)
+    assert "index-counts" not in {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+
+
 def test_endpoint_asks_in_batches(monkeypatch):
     import io
     import json
