@@ -139,7 +139,7 @@ def best(rows: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc, chunk_ord) AS rank FROM {rows}) WHERE rank <= {k}"
 
 
-ASKED = "asked AS (SELECT * FROM requests WHERE qid % 50 = 0 AND trim(question) <> '')"
+ASKED = "asked AS (SELECT * FROM requests WHERE trim(question) <> '')"
 PLAIN = f"""{vectors_of('qv', 'asked', 'question')}, plain AS ({best('(SELECT qid, doc, chunk_ord, sum(a.weight * b.weight) AS score FROM qv a JOIN postings b USING (term) GROUP BY ALL HAVING sum(a.weight * b.weight) > 0)', 4)})"""
 AWARE = f"""{routed('route_q', 'carried', 'question')}, {routed('route_a', "(SELECT * FROM carried WHERE asked <> question)", 'asked')},
 sent AS (SELECT qid, coalesce(a.document, b.document) AS document FROM carried LEFT JOIN route_q a USING (qid) LEFT JOIN route_a b USING (qid)),
@@ -167,6 +167,7 @@ branched AS (SELECT qid, asked, terms, stands_alone, s.document, (SELECT any_val
 quoted AS (SELECT *, list_transform(terms, lambda t: '"' || t || '"') AS q FROM branched)"""
 ALL = f"WITH {INDEX}, {MANUALS}, @requests@, {KINDS}, {CARRIED}, {NAMES}, {PLAIN}, {AWARE} "
 OVER_REQUESTS = ALL.replace("@requests@", "all_requests AS (SELECT DISTINCT request_id AS qid, coalesce(question, '') AS question, history FROM request WHERE request_id IS NOT NULL), asked AS (SELECT * FROM all_requests WHERE qid % 50 = 0 AND trim(question) <> ''), requests AS (SELECT * FROM asked)")
+OVER_ALL_REQUESTS = OVER_REQUESTS.replace("qid % 50 = 0 AND ", "")
 OVER_GOLD = ALL.replace("@requests@", "golden AS (SELECT DISTINCT qid, kind, ask, history, document, heading FROM gold), asked AS (SELECT qid, ask AS question, history FROM golden), requests AS (SELECT * FROM asked)")
 
 JUDGED = """judged AS (SELECT g.qid, g.kind, coalesce(bool_or(p.rank = 1 AND p.doc IS NOT DISTINCT FROM g.document AND pc.heading IS NOT DISTINCT FROM g.heading), false) AS plain,
@@ -199,8 +200,8 @@ SELECT qid, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number()
     "document_names": f"WITH {MANUALS}, {NAMES} SELECT doc AS document, name, name_ord FROM names",
     "route_questions": f"WITH {MANUALS}, {REQUESTS}, {NAMES}, {routed('r', 'requests', 'question')} SELECT qid, document, weight::BIGINT AS weight FROM r",
     "letter_search": OVER_REQUESTS + "SELECT qid, chunk_ord AS chunk_id, rank, score::DOUBLE AS score FROM letter",
-    "aware_search": OVER_REQUESTS + "SELECT qid, chunk_ord AS chunk_id, rank, round(score, 6)::DOUBLE AS score FROM aware",
-    "compare_searches": OVER_REQUESTS + """SELECT qid, p.chunk_ord AS plain_id, a.chunk_ord AS aware_id, (p.doc IS NOT DISTINCT FROM a.doc AND p.chunk_ord IS NOT DISTINCT FROM a.chunk_ord) AS same
+    "aware_search": OVER_ALL_REQUESTS + "SELECT qid, chunk_ord AS chunk_id, rank, round(score, 6)::DOUBLE AS score FROM aware",
+    "compare_searches": OVER_ALL_REQUESTS + """SELECT qid, p.chunk_ord AS plain_id, a.chunk_ord AS aware_id, (p.doc IS NOT DISTINCT FROM a.doc AND p.chunk_ord IS NOT DISTINCT FROM a.chunk_ord) AS same
 FROM asked LEFT JOIN (SELECT * FROM plain WHERE rank = 1) p USING (qid) LEFT JOIN (SELECT * FROM aware WHERE rank = 1) a USING (qid)""",
     "eval_by_kind": OVER_FIVE + f""", {JUDGED} SELECT kind, sum(plain::INT)::BIGINT AS plain, sum(aware::INT)::BIGINT AS aware, count(*) AS "of" FROM judged GROUP BY ROLLUP (kind)""",
     "eval_misses": OVER_FIVE + f", {JUDGED} SELECT qid, kind, plain, aware_at_all FROM judged WHERE NOT aware",
@@ -210,7 +211,7 @@ FROM asked LEFT JOIN (SELECT * FROM plain WHERE rank = 1) p USING (qid) LEFT JOI
   CASE branch WHEN 'letter' THEN 'letter for letter, on ' || array_to_string(q, ' and ') WHEN 'nothing contains' THEN 'nothing contains ' || array_to_string(q, ' or ') || ', so by meaning instead'
     ELSE CASE WHEN document IS NULL AND stands_alone THEN 'by meaning alone: nothing literal in it, no document named, no subject carried, so plain similarity gives the same'
       ELSE concat_ws(', ', 'by meaning', 'within ' || called || ', because it says ' || names, CASE WHEN NOT stands_alone THEN 'with the subject carried from the question before' END) END END AS how FROM quoted""",
-    "answers": OVER_REQUESTS + "SELECT qid, rank, id, document, heading, text, round(score, 4)::DOUBLE AS score, why FROM aware JOIN chunks USING (doc, chunk_ord)",
+    "answers": OVER_ALL_REQUESTS + "SELECT qid, rank, id, document, heading, text, round(score, 4)::DOUBLE AS score, why FROM aware JOIN chunks USING (doc, chunk_ord)",
     "ways_of_writing": f"""WITH {MANUALS}, titles AS (SELECT doc, {norm(TITLE)} AS n, regexp_extract({TITLE}, '\\b[A-Za-z]{{1,5}}[-_ ]?\\d{{2,}}\\b') AS code FROM manuals), v AS ({variants('titles', 'code')}),
 w AS (SELECT *, {words('n')} AS l FROM v)
 SELECT doc AS document, array_to_string(list_transform(list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'i': i, 't': x[i], 'first': list_position(x, x[i]) = i}}), lambda s: s.first), lambda s: s.t), ' | ') AS ways FROM (
