@@ -354,7 +354,8 @@ def test_best_of_postings_is_brute_force(spark, monkeypatch, at_a_time, letters)
     r = random.Random(5)
     chunks = [(f"d{min(9, r.randrange(20))}", i) for i in range(200)]
     value = (lambda: 1.0) if letters else (lambda: r.choice([0.125, 0.25, 0.5, 0.75]))  # many ties
-    postings = [(*c, f"t{t}", value(), r.choice([0.0, 1.0]) if letters else None) for c in chunks for t in r.sample(range(30), r.choice([1, 4, 12]))]
+    postings = [(*c, f"t{t}", value(), 0) for c in chunks for t in r.sample(range(30), r.choice([1, 4, 12]))]
+    headings = {c: r.choice(["t1 t2", "t7", "t11 t5", None]) for c in chunks}
     asked = [(q, r.choice([None, None, "d3", "d9", "none"]), f"t{t}", value(), at) for q in range(60) for at, t in enumerate(r.sample(range(32), r.choice([1, 3, 6])))]
     want = set()
     for q in range(60):
@@ -362,9 +363,9 @@ def test_best_of_postings_is_brute_force(spark, monkeypatch, at_a_time, letters)
         to = own[0][1]
         own = [(q, to, *a[2:]) for a in own]
         for _, _, t, w, _ in own:
-            for d, o, term, v, extra in postings:
+            for d, o, term, v, _ in postings:
                 if term == t and to in (None, d):
-                    scores[d, o] = scores.get((d, o), 0.0) + w * v + (extra if letters and (d, o) not in seen else 0.0)
+                    scores[d, o] = scores.get((d, o), 0.0) + w * v + (letters and (d, o) not in seen and term in (headings[d, o] or ""))
                     seen.add((d, o))
         for rank, ((d, o), s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4], 1):
             want.add((q, d, o, rank, round(s, 9)))
@@ -372,7 +373,8 @@ def test_best_of_postings_is_brute_force(spark, monkeypatch, at_a_time, letters)
     asked = [(q, to_of.setdefault(q, to), t, w, at) for q, to, t, w, at in asked]
     found = retrieve.best_of_postings(
         spark.createDataFrame(asked, "gid bigint, to string, term string, weight double, at int"),
-        spark.createDataFrame(postings, "doc string, chunk_ord bigint, term string, weight double, extra double").repartition(3), 4)
+        spark.createDataFrame([p[:4] for p in postings], "doc string, chunk_ord bigint, term string, weight double").repartition(3), 4,
+        spark.createDataFrame([(*c, h) for c, h in headings.items()], "doc string, chunk_ord bigint, heading string") if letters else None)
     assert {(x["gid"], x["doc"], x["chunk_ord"], x["rank"], round(x["score"], 9)) for x in found.collect()} == want
 
 
